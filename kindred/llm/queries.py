@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import urlfilter
+from . import bpe, packing, urlfilter
 from .storage import Scratch
 
 
@@ -17,7 +18,27 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages.drop("html"), urlfilter.html_links(pages), urlfilter.RULES, Scratch(spark))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters}
+def word_bpe() -> str:
+    """Place of the word-level tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(table(spark, sf_dir, "documents"), word_bpe())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe(), Scratch(spark))
+
+
+QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op4_bpe_codec": op4_bpe_codec,
+    "op10_packing": op10_packing,
+}
 
 _OP1_RULES = """(VALUES ('org','/','allow'), ('example.org','/es/','block'), ('example.org','/en/1','block'), ('com','/fr/','allow'), ('com','/de/','block')) r(rhost, rpath, action)"""
 
