@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, simhash, suffix, urlfilter
+from . import bpe, langid, packing, simhash, suffix, urlfilter, warc
 from .storage import Scratch
 
 
@@ -42,6 +42,21 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    path = scratch.path("archive")
+    warc.write_warc(table(spark, sf_dir, "pages"), path, scratch)
+    records = warc.read_warc(spark, path)
+    whole = F.col("record_type") == "response"
+    return records.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type",
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.repeated_spans(table(spark, sf_dir, "documents"), Scratch(spark))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
@@ -57,6 +72,7 @@ QUERIES = {
     "op4_bpe_codec": op4_bpe_codec,
     "op5_simhash": op5_simhash,
     "op7_language_id": op7_language_id,
+    "op8_warc": op8_warc,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
@@ -93,4 +109,10 @@ k AS (SELECT node, min(other) AS alias_of, bool_or(act = 'block') AS blocked, bo
   FROM (SELECT x.node, x.other, {_OP1_LONGEST.format(column="action")} AS act FROM x2 x) GROUP BY node)
 SELECT page_id, host, path, rule, coalesce(act, CASE WHEN coalesce(blocked, false) AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END) AS verdict, alias_of
 FROM n LEFT JOIN k USING (node)""",
+    "op8_warc": """
+WITH x AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM x WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM x LEFT JOIN f ON x.digest = f.digest AND x.n >= 100""",
 }
