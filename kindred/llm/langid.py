@@ -130,6 +130,23 @@ def identify(docs: DataFrame, profiles: Profiles, *, key: str = "doc_id", text:
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, profiles: Profiles, *, least: float = 0.0, text: str = "text") -> DataFrame:
+    """Rows of docs, all columns as they are, whose language is found with a score of least or more.
+
+    Rows without a word (null texts, no letters) go. Without profiles all others stay, as
+    nothing speaks against them. Nothing is shuffled or joined: a row is judged where it was
+    read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Grams()
+        for batch in batches:
+            words = [Counter(words_of(t.as_py())) for t in batch.column(batch.schema.get_field_index(text))]
+            yield batch.filter(pa.array([bool(w) and (not profiles.languages or profiles.predict(w, cache)[1] >= least) for w in words], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: Column) -> Column:
     """Rows that teach nothing: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -177,3 +177,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *, words: int = 3, key: s
 
 def hex_of(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def first_of_each(docs: DataFrame, scratch: Scratch, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that a document of smaller key reaches by links; columns as they are.
+
+    Rows that share a key are one document and stay or go together; rows without a key stay.
+    """
+    found = near_duplicates(docs, scratch, key=key, text=text)
+    gone, _ = scratch.put(found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("gone")).distinct(), "gone")
+    return docs.join(gone, docs[key] == gone["gone"], "left_anti")

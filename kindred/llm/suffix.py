@@ -149,8 +149,8 @@ class Chunk:
         self.late = doc > doc[first][self.start_name]
         return found
 
-    def spans(self, smaller: np.ndarray) -> Iterator[tuple[object, bytes, np.ndarray]]:
-        """(key, text, removed spans as rows of begin and end) of every document."""
+    def spans(self, smaller: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(place, removed spans as rows of begin and end) of every document."""
         self.removed[self.left[self.late | smaller[self.start_name]]] = True
         size = int(self.begins[-1])
         edge = np.zeros(size + 1, np.int32)
@@ -164,11 +164,11 @@ class Chunk:
             if i in where:
                 own = covered[self.begins[where[i]] : self.begins[where[i] + 1]]
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-                yield self.keys[i], text, turns.reshape(-1, 2)
+                yield i, turns.reshape(-1, 2)
             elif self.keys[i] in self.copies and len(text) >= LENGTH:
-                yield self.keys[i], text, np.array([[0, len(text)]])
+                yield i, np.array([[0, len(text)]])
             else:
-                yield self.keys[i], text, np.zeros((0, 2), np.int64)
+                yield i, np.zeros((0, 2), np.int64)
 
 
 def _pack(columns: list[np.ndarray]) -> np.ndarray:
@@ -287,25 +287,26 @@ def _chunk_number(key: Column, bounds: list[int]) -> Column:
     return (coarse * step + below(F.get(F.array(*map(literal, lows)), coarse))).cast("long")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, *, key: str = "doc_id", text: str = "text", chunk_bytes: int | None = None) -> DataFrame:
-    """(key, n_bytes, spans array<struct<begin, end>>, kept binary) of every document.
+def repeated_spans(docs: DataFrame, scratch: Scratch, *, key: str = "doc_id", text: str = "text", chunk_bytes: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """(key, n_bytes, spans array<struct<begin, end>>, kept binary, rest) of every document.
 
     Spans are the maximal runs of bytes covered by a 50-byte string that also starts in a
     document with a smaller id, judged on the input; kept is the rest. chunk_bytes is the
     text a task holds at once (by default 4 MB, growing with the root of the input to 64 MB).
+    rest holds the columns named in carry, which take the same way; without any it is null.
 
     Null texts are empty. Texts under 50 bytes lose nothing. Rows that share an id are one
     document and take nothing from each other; a row with a null id neither loses nor takes
     anything. An empty table gives no row.
     """
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), (F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")).alias("rest"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     size = chunk_bytes or int(min(64e6, 4e6 * max(1.0, math.sqrt(total / 1e9))))
     count = max(1, math.ceil(total / size))
     cuts = [i / count for i in range(1, count)]
     bounds = (texts.agg(F.percentile_approx("key", cuts, max(10_000, 10 * count))).first()[0] or []) if cuts else []
     chunk = F.coalesce(_chunk_number(F.col("key"), sorted(set(bounds))), F.lit(0).cast("long"))
-    placed = texts.select(chunk.alias("chunk"), "key", "text")
+    placed = texts.select(chunk.alias("chunk"), "key", "text", "rest")
 
     same = texts.where("key is not null").select("key", F.md5("text").alias("digest"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH)
     firsts = same.groupBy("digest", "n").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first")
@@ -332,16 +333,43 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, key: str = "doc_id", te
 
     def finish(group, left: pa.Table, right: pa.Table) -> pa.Table:
         learnt = _Learnt(right)
-        keys, sizes, spans, kept = [], [], [], []
+        rows, sizes, spans, kept = [], [], [], []
         if len(left):
             chunk, _ = _decided(left, learnt, THIRD)
-            for k, t, own in chunk.spans(learnt.bits(THIRD)[0]):
-                keys.append(k)
+            for i, own in chunk.spans(learnt.bits(THIRD)[0]):
+                t = chunk.texts[i]
+                rows.append(i)
                 sizes.append(len(t))
                 spans.append([{"begin": int(a), "end": int(b)} for a, b in own])
                 ends = [0, *own.ravel().tolist(), len(t)]
                 kept.append(b"".join(t[a:b] for a, b in zip(ends[::2], ends[1::2])))
-        return pa.Table.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["key", "n_bytes", "spans", "kept"])
+        at = pa.array(rows, pa.int64())
+        found = [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
+        return pa.Table.from_arrays([left["key"].take(at), *found, left["rest"].take(at)], ["key", "n_bytes", "spans", "kept", "rest"])
 
-    out = placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, "key long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary")
+    kind = placed.schema["rest"].dataType.simpleString()
+    out = placed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, f"key long, n_bytes long, spans array<struct<begin: long, end: long>>, kept binary, rest {kind}")
     return out.withColumnRenamed("key", key)
+
+
+def without_repeats(docs: DataFrame, scratch: Scratch, *, key: str = "doc_id", text: str = "text", length: str = "n_chars", chunk_bytes: int | None = None) -> DataFrame:
+    """docs with what repeats cut out of text and length (if there) counted anew.
+
+    A document of which nothing is left is a copy of earlier ones and goes; one that was
+    empty before stays. A character that a cut parts loses its other bytes, too. The columns
+    and their order stay.
+    """
+    others = [c for c in docs.columns if c not in (key, text)]
+    found = repeated_spans(docs, scratch, key=key, text=text, chunk_bytes=chunk_bytes, carry=others)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [b.decode("utf-8", "ignore") for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string()), batch.column(2)], ["key", "kept", "rest"])
+
+    kept = found.where("n_bytes = 0 or octet_length(kept) > 0").select(F.col(key).alias("key"), "kept", "rest")
+    kept = kept.mapInArrow(whole, f"key long, kept string, rest {kept.schema['rest'].dataType.simpleString()}")
+    column = {key: F.col("key").cast(docs.schema[key].dataType).alias(key), text: F.col("kept").alias(text)}
+    if length in others:
+        column[length] = F.length("kept").cast(docs.schema[length].dataType).alias(length)
+    return kept.select(*(column.get(c, F.col("rest").getField(c).alias(c)) for c in docs.columns))
