@@ -1 +1 @@
-
+"""Column functions: text normalisation, hashing, similarity, blocking keys."""

@@ -1 +1 @@
-
+"""Record-linkage operators over DataFrames."""
