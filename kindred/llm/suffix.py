@@ -54,22 +54,17 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(least 25-gram name, 50-byte name) of every start of a 50-byte string in data."""
-    n = len(data) - LENGTH + 1
-    least, whole = np.empty(max(n, 0), np.uint64), np.empty(max(n, 0), np.uint64)
-    for at in range(0, n, _BLOCK):
-        h1 = _BYTE[data[at : at + _BLOCK + LENGTH - 1]]
-        h2 = _join(h1[:-1], h1[1:])
-        h4 = _join(h2[:-2], h2[2:])
-        h8 = _join(h4[:-4], h4[4:])
-        h16 = _join(h8[:-8], h8[8:])
-        h24 = _join(h16[:-8], h8[16:])
-        h25 = _join(h24[:-1], h1[24:])
-        whole[at : at + _BLOCK] = _join(h25[:-_HALF], h25[_HALF:])
-        m = h25
-        for step in (1, 2, 4, 8, 10):  # 26 grams lie in 50 bytes
-            m = np.minimum(m[:-step], m[step:])
-        least[at : at + _BLOCK] = m
-    return least, whole
+    h1 = _BYTE[data]
+    h2 = _join(h1[:-1], h1[1:])
+    h4 = _join(h2[:-2], h2[2:])
+    h8 = _join(h4[:-4], h4[4:])
+    h16 = _join(h8[:-8], h8[8:])
+    h24 = _join(h16[:-8], h8[16:])
+    h25 = _join(h24[:-1], h1[24:])
+    least = h25
+    for step in (1, 2, 4, 8, 10):  # 26 grams lie in 50 bytes
+        least = np.minimum(least[:-step], least[step:])
+    return least, _join(h25[:-_HALF], h25[_HALF:])
 
 
 def _unique(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -85,79 +80,85 @@ def _unique(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray
 
 
 class Chunk:
-    """Documents of consecutive ids, in order, and how far their starts are decided."""
+    """Documents of consecutive ids, in order, and how far their starts are decided.
+
+    Names are made a cache-sized block at a time and kept for runs alone, so a chunk takes a
+    few bytes of memory for each byte of text.
+    """
 
     def __init__(self, keys: list, texts: list[bytes], copies: set):
         self.order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i]))
         self.keys, self.texts, self.copies = keys, texts, copies
-        live = [i for i in self.order if keys[i] is not None and keys[i] not in copies and len(texts[i]) >= LENGTH]
-        self.live = live
-        data = np.frombuffer(b"".join(texts[i] for i in live), np.uint8)
-        sizes = np.array([len(texts[i]) for i in live], np.int64)
-        self.begins = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.live = [i for i in self.order if keys[i] is not None and keys[i] not in copies and len(texts[i]) >= LENGTH]
+        self.data = np.frombuffer(b"".join(texts[i] for i in self.live), np.uint8)
+        self.begins = np.cumsum([0, *(len(texts[i]) for i in self.live)], dtype=np.int64)
         rank, doc, last = [], -1, None
-        for i in live:  # rows of one id are one document
+        for i in self.live:  # rows of one id are one document
             doc, last = (doc, last) if keys[i] == last else (doc + 1, keys[i])
             rank.append(doc)
-        least, whole = names(data)
-        row = np.repeat(np.arange(len(live), dtype=np.int32), sizes)[: len(least)]
-        inside = np.arange(len(least)) + LENGTH <= self.begins[1:][row] if len(least) else np.zeros(0, bool)
-        self.starts = np.flatnonzero(inside)
-        self.bucket, self.whole = least[inside] >> np.uint64(16), whole[inside]
-        self.row = row[inside]
-        self.doc = np.array(rank, np.int64)[self.row] if len(live) else np.zeros(0, np.int64)
-        # Runs of starts with one bucket, cut every 26 starts.
-        n = len(self.starts)
-        new = np.ones(n, bool)
-        if n:
-            new[1:] = (self.bucket[1:] != self.bucket[:-1]) | (self.row[1:] != self.row[:-1])
-            place = np.arange(n)
-            place -= np.maximum.accumulate(np.where(new, place, 0))
-            new |= place % (_HALF + 1) == 0
-        self.runs = np.flatnonzero(new)
-        self.run_ends = np.append(self.runs[1:], n).astype(np.int64)
+        parts = [self._runs(at) for at in range(0, len(self.data) - LENGTH + 1, _BLOCK)]
+        kinds = (np.int64, np.int64, np.uint64, np.uint64, np.int32)
+        self.first, self.length, self.bucket, self.text, row = (np.concatenate([np.zeros(0, k), *c]) for k, c in zip(kinds, zip(*parts) if parts else [()] * 5))
+        self.doc = np.array(rank, np.int32)[row] if len(row) else np.zeros(0, np.int32)
+
+    def _block(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        return names(self.data[at : at + _BLOCK + LENGTH - 1])
+
+    def _runs(self, at: int) -> tuple[np.ndarray, ...]:
+        """Runs of starts of one block with the same bucket and document, at most 26 long."""
+        least, whole = self._block(at)
+        n = len(least)
+        lo, hi = np.searchsorted(self.begins, [at, at + n - 1], "right") - 1
+        row = np.repeat(np.arange(lo, hi + 1, dtype=np.int32), np.diff(np.concatenate([[at], self.begins[lo + 1 : hi + 1], [at + n]])))
+        inside = np.flatnonzero(np.arange(at + LENGTH, at + LENGTH + n) <= self.begins[row + 1])
+        bucket, row = least[inside] >> np.uint64(16), row[inside]
+        new = np.ones(len(inside), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])
+        place = np.arange(len(inside))
+        place -= np.maximum.accumulate(np.where(new, place, 0))
+        new |= place % (_HALF + 1) == 0
+        first = np.flatnonzero(new)
+        length = np.diff(np.append(first, len(inside)))
+        text = _join(_join(whole[inside[first]], whole[inside[first + length - 1]]), length.astype(np.uint64))
+        return inside[first] + at, length, bucket[first], text, row[first]
 
     def first_names(self) -> list[np.ndarray]:
-        bucket, doc = self.bucket[self.runs], self.doc[self.runs]
-        found, self.run_name, first = _unique(bucket)
+        found, self.run_name, first = _unique(self.bucket)
         self.many = np.zeros(len(first), bool)  # in two documents of this chunk
-        np.logical_or.at(self.many, self.run_name, doc != doc[first][self.run_name])
+        self.many[self.run_name[self.doc != self.doc[first][self.run_name]]] = True
         return found
 
     def second_names(self, elsewhere: np.ndarray) -> list[np.ndarray]:
-        shared = (self.many | elsewhere)[self.run_name]
-        self.shared = np.flatnonzero(shared)
-        a, e = self.runs[self.shared], self.run_ends[self.shared] - 1
-        text = _join(_join(self.whole[a], self.whole[e]), (e - a).astype(np.uint64)) if len(a) else np.zeros(0, np.uint64)
-        doc = self.doc[a]
-        found, self.text_name, first = _unique(self.bucket[a], text)
+        self.shared = np.flatnonzero((self.many | elsewhere)[self.run_name])
+        doc = self.doc[self.shared]
+        found, self.text_name, first = _unique(self.bucket[self.shared], self.text[self.shared])
         self.repeated = doc > doc[first][self.text_name]
         return found
 
     def third_names(self, smaller: np.ndarray, split: np.ndarray) -> list[np.ndarray]:
         self.repeated |= smaller[self.text_name]
-        self.removed = np.zeros(len(self.starts), bool)
-        lengths = self.run_ends - self.runs
-        whole = np.zeros(len(self.runs), bool)
-        whole[self.shared[self.repeated]] = True
-        self.removed = np.repeat(whole, lengths)
-        left = np.zeros(len(self.runs), bool)
-        left[self.shared[~self.repeated & split[self.text_name]]] = True
-        self.left = np.flatnonzero(np.repeat(left, lengths))
-        doc = self.doc[self.left]
-        found, self.start_name, first = _unique(self.bucket[self.left], self.whole[self.left])
+        left = self.shared[~self.repeated & split[self.text_name]]
+        length = self.length[left]
+        self.left = np.repeat(self.first[left], length) + _within(length)
+        whole = np.empty(len(self.left), np.uint64)
+        cuts = np.searchsorted(self.left, np.arange(0, len(self.data) + _BLOCK, _BLOCK))
+        for n in np.flatnonzero(np.diff(cuts)).tolist():
+            own = self.left[cuts[n] : cuts[n + 1]]
+            whole[cuts[n] : cuts[n + 1]] = self._block(n * _BLOCK)[1][own - n * _BLOCK]
+        doc = np.repeat(self.doc[left], length)
+        found, self.start_name, first = _unique(np.repeat(self.bucket[left], length), whole)
         self.late = doc > doc[first][self.start_name]
         return found
 
     def spans(self, smaller: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(place, removed spans as rows of begin and end) of every document."""
-        self.removed[self.left[self.late | smaller[self.start_name]]] = True
-        size = int(self.begins[-1])
-        edge = np.zeros(size + 1, np.int32)
-        at = self.starts[self.removed]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + LENGTH, -1)
-        covered = np.cumsum(edge[:-1]) > 0
+        edge = np.zeros(len(self.data) + 1, np.int32)
+        runs = self.shared[self.repeated]
+        starts = self.left[self.late | smaller[self.start_name]]
+        for begin, end in ((self.first[runs], self.first[runs] + self.length[runs] - 1 + LENGTH), (starts, starts + LENGTH)):
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, end, -1)
+        covered = np.cumsum(edge[:-1], dtype=np.int32) > 0
         where = {i: n for n, i in enumerate(self.live)}
         for i in self.order:
             text = self.texts[i]
@@ -171,6 +172,12 @@ class Chunk:
                 yield i, np.zeros((0, 2), np.int64)
 
 
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each length in turn."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
 def _pack(columns: list[np.ndarray]) -> np.ndarray:
     """Rows of names as bytes: 48 bits of the bucket, then 64 of each further name."""
     parts = [columns[0].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]] + [c.astype("<u8").view(np.uint8).reshape(-1, 8) for c in columns[1:]]
@@ -292,7 +299,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, key: str = "doc_id", te
 
     Spans are the maximal runs of bytes covered by a 50-byte string that also starts in a
     document with a smaller id, judged on the input; kept is the rest. chunk_bytes is the
-    text a task holds at once (by default 4 MB, growing with the root of the input to 64 MB).
+    text a task holds at once (by default 4 MB, growing with the root of the input to 128 MB).
     rest holds the columns named in carry, which take the same way; without any it is null.
 
     Null texts are empty. Texts under 50 bytes lose nothing. Rows that share an id are one
@@ -301,7 +308,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, key: str = "doc_id", te
     """
     texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), (F.struct(*carry) if carry else F.lit(None).cast("struct<none:int>")).alias("rest"))
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    size = chunk_bytes or int(min(64e6, 4e6 * max(1.0, math.sqrt(total / 1e9))))
+    size = chunk_bytes or int(min(128e6, 4e6 * max(1.0, math.sqrt(total / 1e9))))
     count = max(1, math.ceil(total / size))
     cuts = [i / count for i in range(1, count)]
     bounds = (texts.agg(F.percentile_approx("key", cuts, max(10_000, 10 * count))).first()[0] or []) if cuts else []
