@@ -34,7 +34,7 @@ from .storage import Scratch
 LENGTH = 50
 _HALF = LENGTH // 2
 #: Starts hashed at once: what fits into a processor's cache.
-_BLOCK = 1 << 15
+_BLOCK = 1 << 14
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Kinds of rows between chunks and ranges: names of a refinement, and what a chunk keeps for later.
@@ -111,7 +111,8 @@ class Chunk:
         lo, hi = np.searchsorted(self.begins, [at, at + n - 1], "right") - 1
         row = np.repeat(np.arange(lo, hi + 1, dtype=np.int32), np.diff(np.concatenate([[at], self.begins[lo + 1 : hi + 1], [at + n]])))
         inside = np.flatnonzero(np.arange(at + LENGTH, at + LENGTH + n) <= self.begins[row + 1])
-        bucket, row = least[inside] >> np.uint64(16), row[inside]
+        # Least names crowd at the low end; mixed anew, they spread evenly over the ranges.
+        bucket, row = _join(least[inside], least[inside]) >> np.uint64(16), row[inside]
         new = np.ones(len(inside), bool)
         new[1:] = (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])
         place = np.arange(len(inside))
