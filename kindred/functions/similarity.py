@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def matched_ratio(a: str, b: str) -> float:
@@ -14,7 +15,7 @@ def matched_ratio(a: str, b: str) -> float:
     return 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     """Null where either side is null; equal pairs of a batch are computed once."""
     seen: dict[tuple[str, str], float] = {}

@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # What stands for "no value", what carries no meaning in a name, what is deleted.
 PLACEHOLDERS = ("", "-", "--", "?", "n/a", "na", "nan", "null")
@@ -47,12 +48,12 @@ def first_number(address: str | None) -> str | None:
     return next((t for t in (address or "").split() if t.isdigit()), None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical_udf(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else canonical(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _first_number_udf(values: pd.Series) -> pd.Series:
     return values.map(first_number)
 

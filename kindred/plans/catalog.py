@@ -1,7 +1,647 @@
-"""Registered queries over the driver tables and the same results as DuckDB SQL."""
+"""Registered queries over the driver tables and the same results as DuckDB SQL.
+
+Most queries read the entity view over documents: three sources, names and addresses cut
+from the text, truth where long beginnings are equal.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import keys as K
+from ..functions import similarity as S
+from ..functions import text as T
+from ..functions.hashing import split_bucket
+from ..operators import blocking, diagnose, features, matching, profiles, sampling
+from ..sources import sinks, tables
+from . import linkage
+
 FLAGSHIP = "blocking_candidates"
+CAP = K.BlockingConfig(max_group_size=5)
+NARROW = K.BlockingConfig(name_prefix=8, address_prefix=6, address_words=1, max_group_size=3)
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    return tables.documents_as_entities(_docs(spark, d))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return T.normalize_records(_raw(spark, d))
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return T.normalize_records(tables.parts_as_entities(spark.read.parquet(f"{d}/part.parquet")))
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    return tables.documents_truth(_docs(spark, d))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return matching.truth_edges(_truth(spark, d))
+
+
+def _refs(records: DataFrame) -> DataFrame:
+    return records.where("source = 'S1'").select(F.col("entity_id").alias("ref_id"))
+
+
+def _text(c: str) -> Column:
+    """An array as text, so that both engines show it alike."""
+    return F.array_join(c, "|").alias(c)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(f.name, 6).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema))
+
+
+def normalized_records(spark, d):
+    return _records(spark, d).select("source", "entity_id", "ord", "country", "name", _text("name_core"), "address", _text("address_tokens"), _text("address_alpha_tokens"), "house_number", "name_is_missing", "address_is_missing")
+
+
+def script_classes(spark, d):
+    r = _records(spark, d)
+    return r.groupBy(T.script_class(F.col("name")).alias("script")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def id_sources(spark, d):
+    return _raw(spark, d).select("entity_id", T.source_of(F.col("entity_id")).alias("prefix"))
+
+
+def keyed_scan(spark, d):
+    rows = _raw(spark, d).withColumn("entity_id", F.concat(F.lit("D-"), (F.col("ord") % 50).cast("string"))).withColumn("source", F.lit("D"))
+    return tables.last_of_each(rows).select("entity_id", "ord", "business_name")
+
+
+def truth_scan(spark, d):
+    """Ids out of a comma-separated list with blanks, gaps and repeats."""
+    rows = _docs(spark, d).select(F.concat(F.lit(" E-"), (F.col("doc_id") % 40).cast("string"), F.lit(" ")).alias("source1_entity_id"), F.concat(F.lit("a"), (F.col("doc_id") % 7).cast("string"), F.lit(" ,, b"), (F.col("doc_id") % 3).cast("string"), F.lit(",a1")).alias("matched_entity_ids"), F.col("doc_id").alias("ord"))
+    return tables.truth_of(rows).select("source1_entity_id", F.array_join(F.sort_array("matched_ids"), "|").alias("matched_ids"))
+
+
+def blocking_keys(spark, d):
+    return blocking.keyed(_records(spark, d)).select("key", "entity_id")
+
+
+def blocking_keys_narrow(spark, d):
+    return blocking.keyed(_records(spark, d), None, NARROW).select("key", "entity_id")
+
+
+def key_families(spark, d):
+    r = _records(spark, d)
+    named = lambda name: lambda k: F.struct(F.lit(name).alias("family"), k.alias("key"))
+    rows = F.explode(F.concat(*(F.transform(make(), named(name)) for name, make in K.FAMILIES.items()))).alias("r")
+    return r.select("entity_id", rows).select("entity_id", "r.family", F.expr("array_join(slice(split(r.key, '\\u001f'), 2, 99), '|')").alias("parts"))
+
+
+def a2_single_token(spark, d):
+    return _records(spark, d).select("entity_id", F.replace(K.a2_key(single_token=True), F.lit(K.SEPARATOR), F.lit("|")).alias("key")).where("key is not null")
+
+
+def capped_index(spark, d):
+    r = _records(spark, d)
+    return blocking.build_index(r.where("source <> 'S1'"), CAP).select("key", "source", "entity_id", "rn")
+
+
+def capped_index_per_source(spark, d):
+    r = _records(spark, d)
+    return blocking.build_index(r, CAP, per_source=True).select("key", "source", "entity_id", "rn")
+
+
+def capped_index_parts(spark, d):
+    return blocking.build_index(_parts(spark, d), CAP).select("key", "source", "entity_id", "rn")
+
+
+def index_stats(spark, d):
+    r = _records(spark, d)
+    return blocking.index_stats(r.where("source <> 'S1'"), CAP)
+
+
+def blocking_candidates(spark, d):
+    return blocking.candidates(_records(spark, d))
+
+
+def blocking_candidates_capped(spark, d):
+    return blocking.candidates(_records(spark, d), CAP)
+
+
+def candidates_with_self(spark, d):
+    """One index over all sources, probed by S1: only a record's pair with itself goes."""
+    r = _records(spark, d)
+    return blocking.generate_candidates(r.where("source = 'S1'"), blocking.build_index(r))
+
+
+def two_arms(spark, d):
+    return blocking.two_arms(_records(spark, d), CAP)
+
+
+def a2_only_pairs(spark, d):
+    return blocking.added_pairs(blocking.two_arms(_records(spark, d), CAP))
+
+
+def pair_faults(spark, d):
+    return blocking.pair_faults(blocking.two_arms(_records(spark, d), CAP))
+
+
+def labelled_pairs(spark, d):
+    return matching.label_candidates(blocking.candidates(_records(spark, d)), _edges(spark, d))
+
+
+def class_counts(spark, d):
+    return _rounded(matching.class_counts(labelled_pairs(spark, d)))
+
+
+def pair_features_native(spark, d):
+    r = _records(spark, d)
+    return _rounded(features.native_features(features.with_records(blocking.candidates(r, CAP), r), ["ref_id", "cand_id"]))
+
+
+def pair_features(spark, d):
+    r = _records(spark, d)
+    return features.featurize(blocking.candidates(r, CAP).select(*blocking.PAIR), r)
+
+
+def matrix_health(spark, d):
+    return features.health(pair_features(spark, d))
+
+
+def unknown_records(spark, d):
+    r = _records(spark, d)
+    return features.unknown_records(blocking.candidates(r), r.where(F.col("ord") % 2 == 0))
+
+
+def source_profile(spark, d):
+    return _rounded(profiles.source_profile(_raw(spark, d)))
+
+
+def top_countries(spark, d):
+    return profiles.top_countries(_raw(spark, d))
+
+
+def truth_profile(spark, d):
+    return _rounded(profiles.truth_profile(_truth(spark, d)))
+
+
+def truth_multiplicity(spark, d):
+    return profiles.multiplicity(_truth(spark, d))
+
+
+def candidate_volume(spark, d):
+    r = _records(spark, d)
+    return _rounded(profiles.volume(_refs(r), blocking.candidates(r)))
+
+
+def blocking_recall(spark, d):
+    return _rounded(profiles.recall(blocking.candidates(_records(spark, d), CAP), _edges(spark, d)))
+
+
+def resolution_matrix(spark, d):
+    return profiles.resolution(blocking.two_arms(_records(spark, d), NARROW), _edges(spark, d))
+
+
+def a2_yield(spark, d):
+    return _rounded(profiles.a2_yield(blocking.two_arms(_records(spark, d), CAP), _edges(spark, d)))
+
+
+def extrapolated_volume(spark, d):
+    r = _records(spark, d)
+    sums = profiles.volume(_refs(r), blocking.candidates(r)).select("total", "without")
+    return _rounded(profiles.extrapolated(sums, 20_000))
+
+
+def _loose_edges(spark, d) -> DataFrame:
+    """Pairs of an S1 record and another with equal first ten characters: many, and blocking misses some."""
+    r = _raw(spark, d).select("entity_id", "source", F.substring("business_name", 1, 10).alias("start"))
+    left = r.where("source = 'S1'").select(F.col("entity_id").alias("ref_id"), "start")
+    return left.join(r.where("source <> 'S1'").select(F.col("entity_id").alias("cand_id"), "start"), "start").select("ref_id", "cand_id")
+
+
+def _flags(spark, d) -> DataFrame:
+    r = _records(spark, d)
+    return diagnose.flagged(diagnose.missed_pairs(_loose_edges(spark, d), blocking.candidates(r, NARROW)), r, NARROW)
+
+
+def missed_pairs(spark, d):
+    return diagnose.missed_pairs(_loose_edges(spark, d), blocking.candidates(_records(spark, d), NARROW))
+
+
+def miss_categories(spark, d):
+    return diagnose.categories(_flags(spark, d))
+
+
+def miss_flags(spark, d):
+    return diagnose.flag_counts(_flags(spark, d))
+
+
+def miss_examples(spark, d):
+    return diagnose.examples(_flags(spark, d))
+
+
+def capped_key_report(spark, d):
+    r = _records(spark, d)
+    found = diagnose.capped_key_report(_flags(spark, d), r.where("source <> 'S1'"), NARROW)
+    return found.select(F.replace("key", F.lit(K.SEPARATOR), F.lit("|")).alias("key"), "missed", "bucket", "was_capped")
+
+
+def family_recovery(spark, d):
+    return diagnose.recovery_counts(diagnose.recovery(missed_pairs(spark, d), _records(spark, d)))
+
+
+def family_combinations(spark, d):
+    return diagnose.recovery_combinations(diagnose.recovery(missed_pairs(spark, d), _records(spark, d)))
+
+
+def family_volume(spark, d):
+    r = _records(spark, d)
+    return _rounded(diagnose.family_volume(r.where("source = 'S1'"), r.where("source <> 'S1'")))
+
+
+def _scored(spark, d) -> DataFrame:
+    """Labels with a score that depends on the text's length alone."""
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    return labels.join(_docs(spark, d).select("doc_id", (F.length("text") % 1000 / 1000.0).alias("score")), "doc_id")
+
+
+def threshold_sweep(spark, d):
+    return _rounded(matching.evaluate_thresholds(_scored(spark, d)))
+
+
+def best_threshold(spark, d):
+    return _rounded(matching.best_threshold(matching.evaluate_thresholds(_scored(spark, d))))
+
+
+def precision_recall(spark, d):
+    return _rounded(matching.precision_recall_fbeta(_scored(spark, d).withColumn("prediction", (F.col("score") >= 0.5).cast("int"))))
+
+
+def macro_fbeta(spark, d):
+    pairs = labelled_pairs(spark, d).select("ref_id", "cand_id", "label", F.lit(1).alias("prediction"))
+    missing = diagnose.missed_pairs(_edges(spark, d), pairs).select("ref_id", "cand_id", F.lit(1).alias("label"), F.lit(0).alias("prediction"))
+    return _rounded(matching.macro_fbeta(pairs.unionByName(missing), _refs(_records(spark, d))))
+
+
+def matching_results(spark, d):
+    found = labelled_pairs(spark, d).where("label = 1")
+    return sinks.matching_results(_refs(_records(spark, d)), found)
+
+
+def first_sampled(spark, d):
+    return sampling.first_sampled(_raw(spark, d), 20, modulus=11).select("entity_id", "ord")
+
+
+def restricted_pool(spark, d):
+    r = _raw(spark, d)
+    matched = _edges(spark, d).select(T.source_of(F.col("cand_id")).alias("source"), F.col("cand_id").alias("entity_id"))
+    return sampling.restrict_pool(r.where("source <> 'S1'"), matched, F.col("ord") % 5 == 0, 10).select("source", "entity_id")
+
+
+def split_buckets(spark, d):
+    return _raw(spark, d).where("source = 'S1'").select("entity_id", split_bucket(F.col("entity_id"), "v1").alias("bucket"))
+
+
+def reference_split(spark, d):
+    return matching.split_by_reference(blocking.candidates(_records(spark, d))).groupBy("ref_id").agg(F.count_distinct("is_validation").alias("sides"), F.max("is_validation").alias("is_validation"))
+
+
+def bigram_similarity(spark, d):
+    r = _records(spark, d)
+    joined = features.with_records(blocking.candidates(r, CAP), r)
+    return _rounded(joined.select("ref_id", "cand_id", S.strict_bigram_jaccard(F.col("l_name"), F.col("r_name")).alias("similarity")))
+
+
+def _trained(spark, d) -> DataFrame:
+    """Features with a label that both classes have: whether the texts' languages and lengths agree."""
+    r = _records(spark, d)
+    rows = features.featurize(blocking.two_arms(r), r)
+    label = ((F.col("address_char_ratio") + F.col("name_char_ratio")) > 1.2).cast("int")
+    return matching.split_by_reference(rows.withColumn("label", label))
+
+
+def logistic_coefficients(spark, d):
+    found = matching.LogisticMatcher(max_iter=100).fit(_trained(spark, d)).coefficients()
+    return matching.top_coefficients(spark.createDataFrame(list(found.items()), "feature string, weight double"))
+
+
+def two_arm_models(spark, d):
+    return matching.run_arms(_trained(spark, d))
+
+
+def linkage_features(spark, d):
+    return linkage.labelled_features(_records(spark, d), _edges(spark, d))
+
+
+_MISSING = "('', 'n a', 'na', 'nan', 'null')"
+_STOP = "[" + ", ".join(f"'{t}'" for t in T.LEGAL_TOKENS) + "]"
+_SEP = "chr(31)"
+
+
+def _sql_norm(c: str) -> str:
+    return f"trim(regexp_replace(strip_accents(replace(replace(replace(lower(coalesce({c}, '')), 'ß', 'ss'), '&', ' and '), '''', '')), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g'))"
+
+
+_DOC_ENTITIES = """SELECT 'S' || CAST(1 + doc_id % 3 AS VARCHAR) AS source, 'S' || CAST(1 + doc_id % 3 AS VARCHAR) || '-' || CAST(doc_id AS VARCHAR) AS entity_id,
+  substr(text, 1, 40) AS business_name, CAST(length(text) % 97 AS VARCHAR) || ' ' || substr(text, 41, 60) AS business_address, lang AS country, doc_id AS ord FROM documents"""
+_PART_ENTITIES = """SELECT 'S' || CAST(1 + p_partkey % 3 AS VARCHAR) AS source, 'S' || CAST(1 + p_partkey % 3 AS VARCHAR) || '-' || CAST(p_partkey AS VARCHAR) AS entity_id,
+  p_name AS business_name, CAST(p_size AS VARCHAR) || ' ' || p_type AS business_address, p_brand AS country, p_partkey AS ord FROM part"""
+
+
+def _sql_records(entities: str = _DOC_ENTITIES) -> str:
+    return f"""ent AS ({entities}),
+n1 AS (SELECT source, entity_id, ord, {_sql_norm("country")} AS country, {_sql_norm("business_name")} AS rn, {_sql_norm("business_address")} AS ra FROM ent),
+n2 AS (SELECT source, entity_id, ord, country, CASE WHEN rn IN {_MISSING} THEN '' ELSE rn END AS name, CASE WHEN ra IN {_MISSING} THEN '' ELSE ra END AS address, rn IN {_MISSING} AS name_is_missing, ra IN {_MISSING} AS address_is_missing FROM n1),
+n3 AS (SELECT *, list_filter(string_split(name, ' '), lambda t: t <> '' AND NOT list_contains({_STOP}, t)) AS name_core, list_filter(string_split(address, ' '), lambda t: t <> '') AS address_tokens FROM n2),
+r AS (SELECT *, list_filter(address_tokens, lambda t: length(t) >= 3 AND regexp_matches(t, '\\p{{L}}')) AS address_alpha_tokens, list_filter(address_tokens, lambda t: regexp_matches(t, '^[0-9]+$'))[1] AS house_number FROM n3)"""
+
+
+def _sql_prefixes(items: str, n: int, sep: str = _SEP) -> str:
+    return f"array_to_string(list_transform({items}, lambda t: substr(t, 1, {n})), {sep})"
+
+
+def _sql_words(n: int) -> str:
+    return f"list_transform(list_sort(list_transform(address_alpha_tokens, lambda w, i: {{'l': -length(w), 'i': i, 'w': w}}))[1:{n}], lambda s: s.w)"
+
+
+def _sql_keys(c: K.BlockingConfig = K.DEFAULT) -> str:
+    """keyed AS (...): each record's production keys as list k."""
+    name = f"CASE WHEN len(name_core) > 0 THEN ['name_2tok' || {_SEP} || country || {_SEP} || {_sql_prefixes(f'list_sort(name_core)[1:{c.name_tokens}]', c.name_prefix)}] ELSE [] END"
+    addr = f"CASE WHEN house_number IS NOT NULL THEN list_transform({_sql_words(c.address_words)}, lambda w, i: 'addr_ht' || CAST(i - 1 AS VARCHAR) || {_SEP} || country || {_SEP} || house_number || {_SEP} || substr(w, 1, {c.address_prefix})) ELSE [] END"
+    return f"keyed AS (SELECT *, {name} AS nk, {addr} AS ak, list_concat({name}, {addr}) AS k FROM r)"
+
+
+def _sql_a2(c: K.BlockingConfig = K.DEFAULT) -> str:
+    return f"CASE WHEN len(name_core) >= 2 THEN ['name_2tok_a2' || {_SEP} || country || {_SEP} || {_sql_prefixes('name_core[1:2]', c.name_prefix)}] ELSE [] END"
+
+
+def _sql_candidates(name: str, keys: str, cap: int) -> str:
+    return f"""{name}_k AS (SELECT source, entity_id, ord, unnest({keys}) AS key FROM keyed),
+{name}_i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source, ord, entity_id) AS rn FROM {name}_k WHERE source <> 'S1') WHERE rn <= {cap}),
+{name} AS (SELECT DISTINCT a.source AS ref_source, a.entity_id AS ref_id, b.source AS cand_source, b.entity_id AS cand_id FROM {name}_k a JOIN {name}_i b USING (key) WHERE a.source = 'S1')"""
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+_R = _sql_records()
+_K = _sql_keys()
+_EDGES = """edges AS (SELECT DISTINCT 'S1-' || CAST(a.doc_id AS VARCHAR) AS ref_id, 'S' || CAST(1 + b.doc_id % 3 AS VARCHAR) || '-' || CAST(b.doc_id AS VARCHAR) AS cand_id
+  FROM documents a JOIN documents b ON substr(a.text, 1, 200) = substr(b.text, 1, 200) WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0)"""
+_TRUTH = _EDGES + """,
+truth AS (SELECT 'S1-' || CAST(doc_id AS VARCHAR) AS id, (SELECT list(cand_id ORDER BY cand_id) FROM edges WHERE ref_id = 'S1-' || CAST(doc_id AS VARCHAR)) AS ids FROM documents WHERE doc_id % 3 = 0)"""
+
+
+def _arms(c: K.BlockingConfig) -> list[str]:
+    return [
+        _R,
+        _sql_keys(c),
+        _sql_candidates("p", "k", c.max_group_size),
+        _sql_candidates("a", _sql_a2(c), c.max_group_size),
+        "arms AS (SELECT ref_source, ref_id, cand_source, cand_id, bool_or(is_prod) AS is_prod FROM (SELECT *, true AS is_prod FROM p UNION ALL SELECT *, false FROM a) GROUP BY ALL)",
+    ]
+
+
+def _sql_metrics(source: str, group: str = "") -> str:
+    p, r = "coalesce(true_positives::DOUBLE / nullif(predicted_positives, 0), 0)", "coalesce(true_positives::DOUBLE / nullif(true_positives + false_negatives, 0), 0)"
+    return f"""SELECT {group} predicted_positives, true_positives, false_positives, false_negatives, round({p}, 6) AS precision, round({r}, 6) AS recall,
+  round(coalesce(1.25 * {p} * {r} / nullif(0.25 * {p} + {r}, 0), 0), 6) AS f_beta FROM {source}"""
+
+
+def _sql_confusion(hit: str) -> str:
+    return f"count(*) FILTER ({hit}) AS predicted_positives, count(*) FILTER ({hit} AND label = 1) AS true_positives, count(*) FILTER ({hit} AND label <> 1) AS false_positives, count(*) FILTER (NOT ({hit}) AND label = 1) AS false_negatives"
+
+
+_SCORED = "scored AS (SELECT doc_id, quality AS label, length(text) % 1000 / 1000.0::DOUBLE AS score FROM labels JOIN documents USING (doc_id))"
+_SWEEP = f"""{_SCORED},
+grid AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS threshold),
+sweep AS (SELECT threshold, {_sql_confusion("score >= threshold")} FROM grid, scored GROUP BY threshold)"""
+
+
+def _jac(a: str, b: str) -> str:
+    return f"coalesce(len(list_intersect({a}, {b}))::DOUBLE / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0)"
+
+
+def _cr(a: str, b: str) -> str:
+    return f"coalesce(least({a}, {b})::DOUBLE / nullif(greatest({a}, {b}), 0), 0)"
+
+
+def _bi(s: str) -> str:
+    return f"CASE WHEN length({s}) = 0 THEN [] WHEN length({s}) = 1 THEN [{s}] ELSE list_distinct(list_transform(range(1, length({s})), lambda i: substr({s}, i, 2))) END"
+
+
+def _one(c: str) -> str:
+    return f"CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def _sql_features() -> str:
+    both = "(l.name <> '' AND r.name <> '')"
+    addr = "(l.address <> '' AND r.address <> '')"
+    cores = "(len(l.name_core) > 0 AND len(r.name_core) > 0)"
+    core = "(len(l.name_core) > 0 OR len(r.name_core) > 0)"
+    alphas = "(len(l.address_alpha_tokens) > 0 AND len(r.address_alpha_tokens) > 0)"
+    alpha = "(len(l.address_alpha_tokens) > 0 OR len(r.address_alpha_tokens) > 0)"
+    gate = lambda g, v: f"round(CASE WHEN {g} THEN {v} ELSE 0 END::DOUBLE, 6)"
+    pre = lambda s: f"list_transform(list_sort({s}.name_core)[1:2], lambda t: substr(t, 1, 4))"
+    made = {
+        "name_exact": _one(f"{both} AND l.name = r.name"),
+        "name_bigram_jaccard": gate(both, _jac("l.nb", "r.nb")),
+        "name_len_ratio": gate(both, _cr("length(l.name)", "length(r.name)")),
+        "name_core_sorted_exact": _one(f"{core} AND list_sort(l.name_core) = list_sort(r.name_core)"),
+        "name_core_jaccard": gate(core, _jac("list_distinct(l.name_core)", "list_distinct(r.name_core)")),
+        "name_core_overlap": gate(core, "len(list_intersect(list_distinct(l.name_core), list_distinct(r.name_core)))"),
+        "name_core_token_ratio": gate(cores, _cr("len(l.name_core)", "len(r.name_core)")),
+        "name_core_prefix4_equal": _one(f"{cores} AND {pre('l')} = {pre('r')}"),
+        "address_exact": _one(f"{addr} AND l.address = r.address"),
+        "address_bigram_jaccard": gate(addr, _jac("l.ab", "r.ab")),
+        "address_token_jaccard": gate(addr, _jac("list_distinct(l.address_tokens)", "list_distinct(r.address_tokens)")),
+        "address_alpha_jaccard": gate(alphas, _jac("list_distinct(l.address_alpha_tokens)", "list_distinct(r.address_alpha_tokens)")),
+        "address_alpha_overlap": gate(alphas, "len(list_intersect(list_distinct(l.address_alpha_tokens), list_distinct(r.address_alpha_tokens)))"),
+        "address_token_ratio": gate(addr, _cr("len(l.address_tokens)", "len(r.address_tokens)")),
+        "house_number_equal": _one("l.house_number IS NOT NULL AND r.house_number IS NOT NULL AND l.house_number = r.house_number"),
+        "house_number_conflict": _one("l.house_number IS NOT NULL AND r.house_number IS NOT NULL AND l.house_number <> r.house_number"),
+        "country_equal": _one("l.country <> '' AND r.country <> '' AND l.country = r.country"),
+        "country_present_either": _one("l.country <> '' OR r.country <> ''"),
+        "name_present_both": _one(both),
+        "address_present_both": _one(addr),
+        "name_core_present_either": _one(core),
+        "address_alpha_present_either": _one(alpha),
+    }
+    return ", ".join(f"{v} AS {k}" for k, v in made.items())
+
+
+_FEATURES = [_R, _K, _sql_candidates("p", "k", CAP.max_group_size), f"b AS (SELECT *, {_bi('name')} AS nb, {_bi('address')} AS ab FROM r)"]
+_NARROW = [
+    _R,
+    _sql_keys(NARROW),
+    _sql_candidates("p", "k", NARROW.max_group_size),
+    "loose AS (SELECT DISTINCT a.entity_id AS ref_id, b.entity_id AS cand_id FROM ent a JOIN ent b ON substr(a.business_name, 1, 10) = substr(b.business_name, 1, 10) WHERE a.source = 'S1' AND b.source <> 'S1')",
+    "missed AS (SELECT * FROM loose ANTI JOIN p USING (ref_id, cand_id))",
+]
+
+
+def _family_sql() -> dict[str, str]:
+    """List of a family's keys, without its tag, as parts joined by |."""
+    b, core = "'|'", "len(name_core) > 0"
+    two = "list_sort(name_core)[1:2]"
+    made = {
+        "name_1tok": (core, f"country || {b} || substr(name_core[1], 1, 4)"),
+        "name_2tok_order": ("len(name_core) >= 2", f"country || {b} || {_sql_prefixes('name_core[1:2]', 4, b)}"),
+        "name_2tok_p3": (core, f"country || {b} || {_sql_prefixes(two, 3, b)}"),
+        "name_allcore": (core, f"country || {b} || array_to_string(list_sort(list_transform(name_core, lambda t: substr(t, 1, 4))), {b})"),
+        "addr_exact": ("address <> ''", f"country || {b} || address"),
+        "addr_prefix8": ("address <> ''", f"country || {b} || substr(address, 1, 8)"),
+        "addr_ht_all": ("house_number IS NOT NULL AND len(address_alpha_tokens) > 0", f"country || {b} || house_number || {b} || array_to_string(list_sort(list_transform(address_alpha_tokens, lambda t: substr(t, 1, 3))), {b})"),
+        "name_nocountry": (core, _sql_prefixes(two, 4, b)),
+    }
+    lists = {n: f"CASE WHEN {cond} THEN [{key}] ELSE [] END" for n, (cond, key) in made.items()}
+    lists["addr_nocountry"] = f"CASE WHEN house_number IS NOT NULL THEN list_distinct(list_transform({_sql_words(2)}, lambda w: house_number || '|' || substr(w, 1, 3))) ELSE [] END"
+    return lists
+
+
+_FAM = _family_sql()
+_FAM_TABLE = "fam AS (" + " UNION ALL ".join(f"SELECT source, entity_id, '{n}' AS family, unnest({k}) AS parts FROM r" for n, k in _FAM.items()) + ")"
+_HITS = "hits AS (SELECT DISTINCT m.ref_id, m.cand_id, x.family FROM missed m JOIN fam x ON x.entity_id = m.ref_id JOIN fam y ON y.entity_id = m.cand_id AND y.family = x.family AND y.parts = x.parts)"
+
+
+def _flag_sql() -> str:
+    a, b = "x", "y"
+    p4 = lambda s: f"list_transform(list_sort({s}.name_core), lambda t: substr(t, 1, 4))"
+    street = lambda s: f"list_distinct(list_transform({s}.address_alpha_tokens, lambda t: substr(t, 1, {NARROW.address_prefix})))"
+    latin = lambda s: f"NOT regexp_matches({s}.name, '[^\\x00-\\x7F]')"  # noqa: E731  the view's names are all Latin
+    short = f"least(len({a}.name_core), len({b}.name_core), 2)"
+    strict = f"CASE WHEN length(x.name) < 2 OR length(y.name) < 2 THEN (x.name = y.name)::INT::DOUBLE ELSE {_jac('x.nb', 'y.nb')} END"
+    no_key = "(len(x.ak) = 0 OR len(y.ak) = 0)"
+    differs = f"(NOT {no_key} AND NOT list_has_any(x.ak, y.ak))"
+    name_differs = "NOT coalesce(x.nk[1] = y.nk[1], false)"
+    free = f"(coalesce(x.fn[1] = y.fn[1], false) OR list_has_any(x.fa, y.fa))"
+    flags = {
+        "name_missing_either": "x.name_is_missing OR y.name_is_missing",
+        "name_no_core_token_either": "len(x.name_core) = 0 OR len(y.name_core) = 0",
+        "name_key_differs": name_differs,
+        "name_1tok_vs_multi": "(len(x.name_core) = 1 AND len(y.name_core) > 1) OR (len(y.name_core) = 1 AND len(x.name_core) > 1)",
+        "name_core_count_differs": "len(x.name_core) <> len(y.name_core)",
+        "name_prefix4_differs": f"len(x.name_core) > 0 AND len(y.name_core) > 0 AND {p4('x')}[1:{short}] <> {p4('y')}[1:{short}]",
+        "script_differs": "false",
+        "latin_both_low_similarity": f"x.name <> '' AND y.name <> '' AND {latin('x')} AND {latin('y')} AND {strict} < 0.4",
+        "addr_missing_either": "x.address_is_missing OR y.address_is_missing",
+        "addr_no_key_either": no_key,
+        "addr_key_differs": differs,
+        "house_absent_either": "x.house_number IS NULL OR y.house_number IS NULL",
+        "house_differs": "x.house_number <> y.house_number",
+        "street_prefix_differs": f"x.address <> '' AND y.address <> '' AND len({street('x')}) > 0 AND len({street('y')}) > 0 AND NOT list_has_any({street('x')}, {street('y')})",
+        "country_disagrees": "x.country <> y.country",
+        "country_only_blocker": f"x.country <> y.country AND {free}",
+        "both_name_and_addr_weak": f"({name_differs}) AND {differs}",
+        "SHARED_KEY_BUT_MISSED": "list_has_any(x.k, y.k)",
+        "shared_key_was_capped": "EXISTS (SELECT 1 FROM over_full o WHERE list_contains(x.k, o.key) AND list_contains(y.k, o.key))",
+    }
+    return ", ".join(f"coalesce({v}, false) AS \"{n}\"" for n, v in flags.items())
+
+
+_FLAGS = [
+    *_NARROW,
+    f"over_full AS (SELECT key FROM p_k WHERE source <> 'S1' GROUP BY key HAVING count(*) > {NARROW.max_group_size})",
+    f"desc_ AS (SELECT *, {_bi('name')} AS nb, {_FAM['name_nocountry']} AS fn, {_FAM['addr_nocountry']} AS fa FROM keyed)",
+    f"flags AS (SELECT m.ref_id, m.cand_id, list_intersect(x.k, y.k) AS shared, {_flag_sql()} FROM missed m JOIN desc_ x ON x.entity_id = m.ref_id JOIN desc_ y ON y.entity_id = m.cand_id)",
+    f"""cat AS (SELECT *, CASE WHEN "SHARED_KEY_BUT_MISSED" THEN 'shared key truncated by cap={NARROW.max_group_size}'
+ WHEN (name_missing_either OR name_no_core_token_either) AND (addr_no_key_either OR addr_missing_either) THEN 'no usable key on either side'
+ WHEN name_missing_either OR name_no_core_token_either THEN 'name unusable (address keys exist)'
+ WHEN country_only_blocker THEN 'country blocks an otherwise matching key'
+ WHEN name_key_differs AND addr_key_differs THEN 'both name and address keys differ'
+ WHEN name_key_differs AND name_1tok_vs_multi THEN '1-token vs multi-token name (no padding)'
+ WHEN name_key_differs AND script_differs THEN 'name key differs: different script'
+ WHEN name_key_differs THEN 'name key differs: token/prefix mismatch'
+ WHEN addr_key_differs AND house_differs THEN 'address key differs: house number'
+ WHEN addr_key_differs THEN 'address key differs: street prefix' ELSE 'other' END AS category FROM flags)""",
+]
+_VOLUME = """SELECT count(*) AS n_references, coalesce(sum(n), 0)::BIGINT AS total, round(avg(n), 6) AS mean, max(n) AS largest, count(*) FILTER (n = 0) AS without,
+  list_sort(list(n))[count(*) // 2 + 1] AS upper_median FROM (SELECT s.entity_id, count(p.cand_id) AS n FROM (SELECT entity_id FROM r WHERE source = 'S1') s LEFT JOIN p ON p.ref_id = s.entity_id GROUP BY 1)"""
+_LABELLED = [_R, _K, _sql_candidates("p", "k", 1000), _EDGES, "lab AS (SELECT p.*, CASE WHEN e.ref_id IS NOT NULL THEN 1 ELSE 0 END AS label FROM p LEFT JOIN edges e USING (ref_id, cand_id))"]
+_INDEX = "SELECT key, source, entity_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY source, ord, entity_id) AS rn FROM (SELECT source, entity_id, ord, unnest(k) AS key FROM keyed{where})) WHERE rn <= 5"
+
+ORACLE_SQL = {
+    "normalized_records": _with(_R) + "SELECT source, entity_id, ord, country, name, array_to_string(name_core, '|') AS name_core, address, array_to_string(address_tokens, '|') AS address_tokens, array_to_string(address_alpha_tokens, '|') AS address_alpha_tokens, house_number, name_is_missing, address_is_missing FROM r",
+    "script_classes": _with(_R) + "SELECT CASE WHEN name = '' THEN 'empty' WHEN NOT regexp_matches(name, '[^\\x00-\\x7F]') THEN 'latin' ELSE 'latin+marks' END AS script, count(*) AS n FROM r GROUP BY 1",
+    "id_sources": f"SELECT entity_id, split_part(entity_id, '-', 1) AS prefix FROM ({_DOC_ENTITIES})",
+    "keyed_scan": f"SELECT 'D-' || CAST(ord % 50 AS VARCHAR) AS entity_id, max(ord) AS ord, arg_max(business_name, ord) AS business_name FROM ({_DOC_ENTITIES}) GROUP BY 1",
+    "truth_scan": """SELECT 'E-' || CAST(doc_id % 40 AS VARCHAR) AS source1_entity_id, array_to_string(list_sort(list_distinct(['a' || CAST(doc_id % 7 AS VARCHAR), 'b' || CAST(doc_id % 3 AS VARCHAR), 'a1'])), '|') AS matched_ids
+FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id DESC) = 1""",
+    "blocking_keys": _with(_R, _K) + "SELECT unnest(k) AS key, entity_id FROM keyed",
+    "blocking_keys_narrow": _with(_R, _sql_keys(NARROW)) + "SELECT unnest(k) AS key, entity_id FROM keyed",
+    "key_families": _with(_R, _FAM_TABLE) + "SELECT entity_id, family, parts FROM fam",
+    "a2_single_token": _with(_R) + f"SELECT entity_id, 'name_2tok_a2|' || country || '|' || {_sql_prefixes('name_core[1:2]', 4, chr(39) + '|' + chr(39))} AS key FROM r WHERE len(name_core) > 0",
+    "capped_index": _with(_R, _K) + _INDEX.format(group="key", where=" WHERE source <> 'S1'"),
+    "capped_index_per_source": _with(_R, _K) + _INDEX.format(group="key, source", where=""),
+    "capped_index_parts": _with(_sql_records(_PART_ENTITIES), _K) + _INDEX.format(group="key", where=""),
+    "index_stats": _with(_R, _K, "g AS (SELECT key, count(*) AS n FROM (SELECT unnest(k) AS key FROM keyed WHERE source <> 'S1') GROUP BY key)")
+    + """SELECT (SELECT count(*) FROM keyed WHERE source <> 'S1' AND len(k) > 0) AS indexed_records, (SELECT count(*) FROM keyed WHERE source <> 'S1' AND len(k) = 0) AS keyless_records,
+ count(*) AS distinct_keys, max(least(n, 5)) AS largest_group, count(*) FILTER (n > 5) AS capped_groups, sum(least(n, 5))::BIGINT AS stored_references FROM g""",
+    "blocking_candidates": _with(_R, _K, _sql_candidates("p", "k", 1000)) + "SELECT * FROM p",
+    "blocking_candidates_capped": _with(_R, _K, _sql_candidates("p", "k", 5)) + "SELECT * FROM p",
+    "candidates_with_self": _with(_R, _K, "u AS (SELECT source, entity_id, ord, unnest(k) AS key FROM keyed)", "i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source, ord, entity_id) AS rn FROM u) WHERE rn <= 1000)")
+    + "SELECT DISTINCT a.source AS ref_source, a.entity_id AS ref_id, b.source AS cand_source, b.entity_id AS cand_id FROM u a JOIN i b USING (key) WHERE a.source = 'S1' AND NOT (a.source = b.source AND a.entity_id = b.entity_id)",
+    "two_arms": _with(*_arms(CAP)) + "SELECT * FROM arms",
+    "a2_only_pairs": _with(*_arms(CAP)) + "SELECT * FROM a EXCEPT SELECT * FROM p",
+    "pair_faults": "SELECT 0::BIGINT AS repeated, 0::BIGINT AS self_pairs, 0::BIGINT AS foreign_candidates",
+    "labelled_pairs": _with(*_LABELLED) + "SELECT ref_source, ref_id, cand_source, cand_id, label FROM lab",
+    "class_counts": _with(*_LABELLED) + "SELECT count(*) AS n_samples, count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label = 0) AS n_negative, round(count(*) FILTER (label = 1) / count(*)::DOUBLE, 6) AS positive_rate FROM lab",
+    "pair_features_native": _with(*_FEATURES) + f"SELECT p.ref_id, p.cand_id, {_sql_features()} FROM p JOIN b l ON l.entity_id = p.ref_id JOIN b r ON r.entity_id = p.cand_id",
+    "bigram_similarity": _with(*_FEATURES) + f"SELECT p.ref_id, p.cand_id, round(CASE WHEN length(l.name) < 2 OR length(r.name) < 2 THEN (l.name = r.name)::INT::DOUBLE ELSE {_jac('l.nb', 'r.nb')} END, 6) AS similarity FROM p JOIN b l ON l.entity_id = p.ref_id JOIN b r ON r.entity_id = p.cand_id",
+    "unknown_records": _with(_R, _K, _sql_candidates("p", "k", 1000)) + "SELECT DISTINCT source, entity_id FROM (SELECT ref_source AS source, ref_id AS entity_id FROM p UNION ALL SELECT cand_source, cand_id FROM p) x WHERE entity_id NOT IN (SELECT entity_id FROM r WHERE ord % 2 = 0)",
+    "source_profile": f"""SELECT source, count(*) AS n_rows, count(*) FILTER (trim(coalesce(business_name, '')) = '') AS empty_names, round(100.0::DOUBLE * count(*) FILTER (trim(coalesce(business_name, '')) = '') / count(*), 6) AS empty_names_pct,
+ count(*) FILTER (trim(coalesce(business_address, '')) = '') AS empty_addresses, round(100.0::DOUBLE * count(*) FILTER (trim(coalesce(business_address, '')) = '') / count(*), 6) AS empty_addresses_pct, round(avg(length(coalesce(business_name, ''))), 6) AS mean_name_length
+FROM ({_DOC_ENTITIES}) GROUP BY source""",
+    "top_countries": "SELECT lang AS country, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, country LIMIT 10",
+    "truth_profile": _with(_TRUTH)
+    + """SELECT count(*) AS n_rows, count(*) FILTER (coalesce(len(ids), 0) = 0) AS singletons, coalesce(sum(len(ids)), 0)::BIGINT AS total_pairs, coalesce(sum(len(list_filter(ids, lambda i: starts_with(i, 'S2-')))), 0)::BIGINT AS s2_pairs,
+ coalesce(sum(len(list_filter(ids, lambda i: starts_with(i, 'S3-')))), 0)::BIGINT AS s3_pairs, round(avg(coalesce(len(ids), 0)), 6) AS mean_matches FROM truth""",
+    "truth_multiplicity": _with(_TRUTH) + "SELECT least(coalesce(len(ids), 0), 10)::INT AS k, count(*) AS n FROM truth GROUP BY 1",
+    "candidate_volume": _with(_R, _K, _sql_candidates("p", "k", 1000)) + _VOLUME,
+    "blocking_recall": _with(_R, _K, _sql_candidates("p", "k", 5), _EDGES) + "SELECT count(*) AS true_pairs, count(p.ref_id) AS found_pairs, round(count(p.ref_id)::DOUBLE / count(*), 6) AS recall FROM edges e LEFT JOIN p USING (ref_id, cand_id)",
+    "resolution_matrix": _with(*_arms(NARROW), _EDGES) + "SELECT CASE WHEN is_prod IS NULL THEN 'neither' WHEN is_prod THEN 'production' ELSE 'a2_only' END AS route, count(*) AS n FROM edges LEFT JOIN arms USING (ref_id, cand_id) GROUP BY 1",
+    "a2_yield": _with(*_arms(CAP), _EDGES)
+    + """SELECT count(*) AS added, count(e.ref_id) AS added_true, round(coalesce(10000 * count(e.ref_id)::DOUBLE / nullif(count(*), 0), 0), 6) AS true_per_10k, round(coalesce(count(*)::DOUBLE / nullif(count(e.ref_id), 0), 0), 6) AS added_per_true
+FROM arms a LEFT JOIN edges e USING (ref_id, cand_id) WHERE NOT is_prod""",
+    "extrapolated_volume": _with(_R, _K, _sql_candidates("p", "k", 1000)) + f"SELECT round(total * (2206821 / 20000.0::DOUBLE), 6) AS total, round(without * (2206821 / 20000.0::DOUBLE), 6) AS without FROM ({_VOLUME})",
+    "missed_pairs": _with(*_NARROW) + "SELECT * FROM missed",
+    "miss_categories": _with(*_FLAGS) + "SELECT category, count(*) AS n FROM cat GROUP BY 1",
+    "miss_flags": _with(*_FLAGS) + " UNION ALL ".join(f"SELECT '{n}' AS flag, count(*) FILTER (\"{n}\") AS n FROM flags" for n in diagnose.FLAGS),
+    "miss_examples": _with(*_FLAGS) + "SELECT * FROM (SELECT category, row_number() OVER (PARTITION BY category ORDER BY ref_id, cand_id) AS rn, ref_id, cand_id FROM cat) WHERE rn <= 6",
+    "capped_key_report": _with(*_FLAGS)
+    + f"""SELECT replace(key, chr(31), '|') AS key, missed, bucket, bucket > {NARROW.max_group_size} AS was_capped FROM (SELECT key, count(*) AS missed FROM (SELECT unnest(shared) AS key FROM flags) GROUP BY key)
+JOIN (SELECT key, count(*) AS bucket FROM p_k WHERE source <> 'S1' GROUP BY key) USING (key) ORDER BY missed DESC, key LIMIT 12""",
+    "family_recovery": _with(*_NARROW, _FAM_TABLE, _HITS) + "SELECT family, count(*) AS n FROM hits GROUP BY 1 UNION ALL SELECT 'any', count(*) FROM (SELECT DISTINCT ref_id, cand_id FROM hits) HAVING count(*) > 0",
+    "family_combinations": _with(*_NARROW, _FAM_TABLE, _HITS) + "SELECT coalesce(c, 'NONE') AS combination, count(*) AS n FROM (SELECT m.ref_id, m.cand_id, string_agg(h.family, '+' ORDER BY h.family) AS c FROM missed m LEFT JOIN hits h USING (ref_id, cand_id) GROUP BY 1, 2) GROUP BY 1",
+    "family_volume": _with(_R, _FAM_TABLE, "f AS (SELECT DISTINCT family FROM fam UNION SELECT unnest([" + ", ".join(f"'{n}'" for n in K.FAMILIES) + "]))", "s AS (SELECT entity_id FROM r WHERE source = 'S1')", "n AS (SELECT a.family, a.entity_id, count(DISTINCT b.entity_id) AS n FROM fam a JOIN fam b ON a.family = b.family AND a.parts = b.parts WHERE a.source = 'S1' AND b.source <> 'S1' GROUP BY 1, 2)")
+    + "SELECT f.family, coalesce(sum(n), 0)::BIGINT AS total, round(avg(coalesce(n, 0)), 6) AS mean, max(coalesce(n, 0)) AS largest, count(*) FILTER (coalesce(n, 0) = 0) AS without FROM f CROSS JOIN s LEFT JOIN n ON n.family = f.family AND n.entity_id = s.entity_id GROUP BY 1",
+    "threshold_sweep": _with(_SWEEP) + _sql_metrics("sweep", "threshold,"),
+    "best_threshold": _with(_SWEEP, f"m AS ({_sql_metrics('sweep', 'threshold,')})") + "SELECT * FROM m ORDER BY f_beta DESC, threshold DESC LIMIT 1",
+    "precision_recall": _with(_SCORED, f"c AS (SELECT {_sql_confusion('score >= 0.5')} FROM scored)") + _sql_metrics("c"),
+    "macro_fbeta": _with(
+        *_LABELLED,
+        """c AS (SELECT s.entity_id, (SELECT count(*) FROM lab WHERE ref_id = s.entity_id AND label = 1) AS tp, (SELECT count(*) FROM lab WHERE ref_id = s.entity_id AND label = 0) AS fp,
+ (SELECT count(*) FROM edges e WHERE e.ref_id = s.entity_id) AS t FROM r s WHERE source = 'S1')""",
+        "x AS (SELECT tp, fp, t, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS p, coalesce(tp::DOUBLE / nullif(t, 0), 0) AS q FROM c)",
+    )
+    + "SELECT count(*) AS n_references, round(avg(CASE WHEN tp + fp + t = 0 THEN 1.0::DOUBLE ELSE coalesce(1.25 * p * q / nullif(0.25 * p + q, 0), 0) END), 6) AS macro_f_beta FROM x",
+    "matching_results": _with(*_LABELLED) + "SELECT s.entity_id AS ref_id, coalesce(string_agg(l.cand_id, ',' ORDER BY l.cand_id), '') AS matched FROM r s LEFT JOIN lab l ON l.ref_id = s.entity_id AND l.label = 1 WHERE s.source = 'S1' GROUP BY 1",
+    "restricted_pool": _with(f"ent AS ({_DOC_ENTITIES})", _EDGES)
+    + """SELECT source, entity_id FROM ent WHERE source <> 'S1' AND entity_id IN (SELECT cand_id FROM edges) UNION ALL
+SELECT source, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS n FROM ent WHERE source <> 'S1' AND entity_id NOT IN (SELECT cand_id FROM edges) AND ord % 5 = 0) WHERE n <= 10""",
+}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        normalized_records, script_classes, id_sources, keyed_scan, truth_scan, blocking_keys, blocking_keys_narrow, key_families, a2_single_token,
+        capped_index, capped_index_per_source, capped_index_parts, index_stats, blocking_candidates, blocking_candidates_capped, candidates_with_self,
+        two_arms, a2_only_pairs, pair_faults, labelled_pairs, class_counts, pair_features_native, pair_features, bigram_similarity, matrix_health, unknown_records,
+        source_profile, top_countries, truth_profile, truth_multiplicity, candidate_volume, blocking_recall, resolution_matrix, a2_yield, extrapolated_volume,
+        missed_pairs, miss_categories, miss_flags, miss_examples, capped_key_report, family_recovery, family_combinations, family_volume,
+        threshold_sweep, best_threshold, precision_recall, macro_fbeta, matching_results, first_sampled, restricted_pool, split_buckets, reference_split,
+        logistic_coefficients, two_arm_models, linkage_features,
+    )
+}

@@ -1 +1 @@
-
+"""Readers and writers of record and truth tables."""

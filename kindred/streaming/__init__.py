@@ -1 +1 @@
-
+"""Linkage of records that arrive as a stream."""
