@@ -3,12 +3,17 @@
 Records are plain WARC/1.1. A response holds an HTTP header and the payload; a revisit holds
 the HTTP header alone and names the record with the same payload. The reader takes a file
 for a partition, parses a record's header before anything else, and steps over the block of
-a record that the pushed filters reject or whose payload isn't wanted.
+a record that the predicates reject or whose payload isn't wanted.
+
+Predicates reach the reader as options of read_warc, or, with pushdown=True, from Catalyst.
+The latter is off by default: Spark 4.1 keeps pushed filters with the table, not with the
+scan, so a DataFrame that is used twice, with other filters, would lose rows.
 """
 
 from __future__ import annotations
 
 import gzip
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -126,19 +131,12 @@ class WarcReader(DataSourceReader):
         self.payload = options.get("payload", "true").lower() != "false"
         self.split = int(options.get("filebytes", 32_000_000))
         self.wanted = _Wanted()
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            name = HEADER_OF.get(f.attribute[0]) if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            if name and isinstance(f, (EqualTo, In)):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted.equal[name] = self.wanted.equal.get(name, values) & values
-            elif name and isinstance(f, StringStartsWith):
-                self.wanted.begins.setdefault(name, []).append(f.value)
-            elif name and isinstance(f, IsNotNull):
-                self.wanted.present.add(name)
-            else:
-                yield f
+        for option, value in options.items():
+            kind, _, name = option.lower().partition(".")
+            if kind == "equal":
+                self.wanted.equal[name] = set(json.loads(value))
+            elif kind == "begins":
+                self.wanted.begins[name] = [value]
 
     def partitions(self) -> list[FilePart]:
         """Files in order of name, small ones together; a file is never split."""
@@ -198,6 +196,23 @@ class WarcReader(DataSourceReader):
             yield named["record_id"], named["record_type"], named["target_uri"], named["refers_to"], named["payload_digest"], size, headers, payload
 
 
+class PushingWarcReader(WarcReader):
+    """Takes filters from Catalyst, too."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = HEADER_OF.get(f.attribute[0]) if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            if name and isinstance(f, (EqualTo, In)):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted.equal[name] = self.wanted.equal.get(name, values) & values
+            elif name and isinstance(f, StringStartsWith):
+                self.wanted.begins.setdefault(name, []).append(f.value)
+            elif name and isinstance(f, IsNotNull):
+                self.wanted.present.add(name)
+            else:
+                yield f
+
+
 class _Lines:
     """Buffered bytes of a file: lines, blocks, and steps over what isn't wanted."""
 
@@ -269,7 +284,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class WarcDataSource(DataSource):
-    """spark.read.format("warc"). Options: path; payload=false reads headers only; filebytes: bytes of files for a task."""
+    """spark.read.format("warc"). Options: path; payload=false reads headers only; filebytes: bytes of files for a task; see read_warc for the rest."""
 
     @classmethod
     def name(cls) -> str:
@@ -279,14 +294,27 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return WarcReader(self.options)
+        pushing = self.options.get("pushdown", "false").lower() == "true"
+        return PushingWarcReader(self.options) if pushing else WarcReader(self.options)
+
 
+def read_warc(spark: SparkSession, path: str, *, payload: bool = True, types: list[str] | None = None, equal: dict[str, list[str]] | None = None, begins: dict[str, str] | None = None, pushdown: bool = False) -> DataFrame:
+    """Records below path that the header predicates admit.
 
-def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFrame:
-    """Records below path; filters on type, ids, digest and target are decided from the headers."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    types: record types; equal: header name -> values it may have; begins: header name ->
+    how it begins (names in lower case, ids without brackets). payload=False reads headers
+    only. pushdown lets Catalyst push filters on type, ids, digest and target as well; use
+    such a DataFrame once.
+    """
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    reader = spark.read.format("warc").option("payload", str(payload).lower()).option("pushdown", str(pushdown).lower())
+    for name, values in (({"warc-type": types} if types else {}) | (equal or {})).items():
+        reader = reader.option(f"equal.{name}", json.dumps(list(values)))
+    for name, value in (begins or {}).items():
+        reader = reader.option(f"begins.{name}", value)
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return reader.load(path)
 
 
 def page_of(record: Column) -> Column:
