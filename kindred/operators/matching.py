@@ -146,16 +146,23 @@ def run_arms(features: DataFrame, *, class_weight: str | None = None, thresholds
     """features(..., label, is_prod, is_validation) -> the best report of each arm.
 
     An arm is a filter of the one feature table: production pairs, or all. Each is fitted on
-    its training side and judged on its validation side; n_train and n_validation say how
-    many pairs those had.
+    its training side and judged on its validation side; n_train says how many pairs it was
+    fitted on. The table is cached meanwhile, since a fit reads it once for each iteration;
+    give a table that is stored already, if it can be. Only two rows come to the driver.
     """
-    out = None
-    for arm, rows in (("production", features.where("is_prod")), ("production_a2", features)):
-        matcher = LogisticMatcher(class_weight=class_weight).fit(rows.where("not is_validation"))
-        best = best_threshold(matcher.report(rows.where("is_validation"), thresholds))
-        best = best.select(F.lit(arm).alias("arm"), F.lit(matcher.summary.n_samples).alias("n_train"), F.lit(matcher.summary.converged).alias("converged"), "*")
-        out = best if out is None else out.unionByName(best)
-    return out
+    cached = not features.is_cached
+    features = features.persist() if cached else features
+    try:
+        rows, schema = [], None
+        for arm, part in (("production", features.where("is_prod")), ("production_a2", features)):
+            matcher = LogisticMatcher(class_weight=class_weight).fit(part.where("not is_validation"))
+            best = best_threshold(matcher.report(part.where("is_validation"), thresholds))
+            best = best.select(F.lit(arm).alias("arm"), F.lit(matcher.summary.n_samples).cast("long").alias("n_train"), F.lit(matcher.summary.converged).alias("converged"), "*")
+            rows, schema = rows + best.collect(), best.schema
+        return features.sparkSession.createDataFrame(rows, schema)
+    finally:
+        if cached:
+            features.unpersist()
 
 
 def recovered_recall(scored: DataFrame, threshold: float) -> DataFrame:

@@ -314,7 +314,7 @@ def bigram_similarity(spark, d):
 
 
 def _trained(spark, d) -> DataFrame:
-    """Features with a label that both classes have: whether the texts' languages and lengths agree."""
+    """Features with a label that has both classes: whether name and address look alike."""
     r = _records(spark, d)
     rows = features.featurize(blocking.two_arms(r), r)
     label = ((F.col("address_char_ratio") + F.col("name_char_ratio")) > 1.2).cast("int")
@@ -322,7 +322,9 @@ def _trained(spark, d) -> DataFrame:
 
 
 def logistic_coefficients(spark, d):
-    found = matching.LogisticMatcher(max_iter=100).fit(_trained(spark, d)).coefficients()
+    rows = _trained(spark, d).persist()
+    found = matching.LogisticMatcher(max_iter=100).fit(rows).coefficients()
+    rows.unpersist()
     return matching.top_coefficients(spark.createDataFrame(list(found.items()), "feature string, weight double"))
 
 
