@@ -228,6 +228,7 @@ def search(embeddings: DataFrame, is_query, scratch: Scratch, *, k: int = 20, se
                 yield pa.RecordBatch.from_arrays([pa.array(work.ids[q]), pa.array(work.found[q, r]), pa.array(work.score[q, r])], ["query_id", "id", "score"])
 
     order = ["shard", "block"]
-    found = cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(scan, "query_id long, id long, score double")
+    tasks = max(spark.sparkContext.defaultParallelism, shard + 1)  # by work, not by bytes
+    found = cells.repartition(tasks, *order).sortWithinPartitions(*order).mapInArrow(scan, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
