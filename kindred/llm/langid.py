@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -141,8 +142,12 @@ def keep_known(docs: DataFrame, profiles: Profiles, *, least: float = 0.0, text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Grams()
         for batch in batches:
-            words = [Counter(words_of(t.as_py())) for t in batch.column(batch.schema.get_field_index(text))]
-            yield batch.filter(pa.array([bool(w) and (not profiles.languages or profiles.predict(w, cache)[1] >= least) for w in words], pa.bool_()))
+            known = map(stays, batch.column(batch.schema.get_field_index(text)), repeat(cache))
+            yield batch.filter(pa.array(list(known), pa.bool_()))
+
+    def stays(value: pa.Scalar, cache: _Grams) -> bool:
+        words = Counter(words_of(value.as_py()))  # of one text at a time
+        return bool(words) and (not profiles.languages or profiles.predict(words, cache)[1] >= least)
 
     return docs.mapInArrow(run, docs.schema)
 
