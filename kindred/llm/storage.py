@@ -44,3 +44,7 @@ class Scratch:
     def drop(self, path: str) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def clear(self) -> None:
+        """Drops all tables of the run; results must have been written before."""
+        self.drop(self.folder)
