@@ -127,7 +127,7 @@ FROM n LEFT JOIN k USING (node)""",
     "op8_warc": """
 WITH x AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
 f AS (SELECT digest, min(page_id) AS first FROM x WHERE n >= 100 GROUP BY digest)
-SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+SELECT page_id, n AS payload_bytes, x.digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first THEN first END AS refers_to
 FROM x LEFT JOIN f ON x.digest = f.digest AND x.n >= 100""",
     "op2_embedding_dedup": """
