@@ -165,6 +165,12 @@ def recovery_counts(recovered: DataFrame) -> DataFrame:
     return rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ranked_families(counts: DataFrame) -> DataFrame:
+    """(rank, family, n) from recovery_counts without 'any', most pairs first; a row for each family."""
+    order = Window.orderBy(F.desc("n"), "family")
+    return counts.where("family <> 'any'").select(F.row_number().over(order).alias("rank"), "family", "n")
+
+
 def recovery_combinations(recovered: DataFrame) -> DataFrame:
     """(combination, n): families that reach a pair together, NONE for pairs out of reach of all."""
     named = F.when(F.size("hits") > 0, F.array_join("hits", "+")).otherwise("NONE")

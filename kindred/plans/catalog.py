@@ -251,6 +251,17 @@ def family_recovery(spark, d):
     return diagnose.recovery_counts(diagnose.recovery(missed_pairs(spark, d), _records(spark, d)))
 
 
+def ranked_families(spark, d):
+    return diagnose.ranked_families(family_recovery(spark, d))
+
+
+def recovered_recall(spark, d):
+    """With the last digit of the candidate's id as score, even references as validation side."""
+    rows = matching.label_candidates(blocking.two_arms(_records(spark, d), NARROW), _loose_edges(spark, d))
+    rows = rows.withColumns({"score": F.substring("cand_id", -1, 1).cast("double") / 10, "is_validation": F.substring_index("ref_id", "-", -1).cast("int") % 2 == 0})
+    return matching.recovered_recall(rows, 0.5)
+
+
 def family_combinations(spark, d):
     return diagnose.recovery_combinations(diagnose.recovery(missed_pairs(spark, d), _records(spark, d)))
 
@@ -616,6 +627,8 @@ FROM arms a LEFT JOIN edges e USING (ref_id, cand_id) WHERE NOT is_prod""",
     + f"""SELECT replace(key, chr(31), '|') AS key, missed, bucket, bucket > {NARROW.max_group_size} AS was_capped FROM (SELECT key, count(*) AS missed FROM (SELECT unnest(shared) AS key FROM flags) GROUP BY key)
 JOIN (SELECT key, count(*) AS bucket FROM p_k WHERE source <> 'S1' GROUP BY key) USING (key) ORDER BY missed DESC, key LIMIT 12""",
     "family_recovery": _with(*_NARROW, _FAM_TABLE, _HITS) + "SELECT family, count(*) AS n FROM hits GROUP BY 1 UNION ALL SELECT 'any', count(*) FROM (SELECT DISTINCT ref_id, cand_id FROM hits) HAVING count(*) > 0",
+    "ranked_families": _with(*_NARROW, _FAM_TABLE, _HITS) + "SELECT row_number() OVER (ORDER BY n DESC, family) AS rank, family, n FROM (SELECT family, count(*) AS n FROM hits GROUP BY 1)",
+    "recovered_recall": _with(*_arms(NARROW), _NARROW[3]) + "SELECT count(*) AS valid, count(*) FILTER (CAST(right(cand_id, 1) AS DOUBLE) / 10 >= 0.5) AS caught FROM arms JOIN loose USING (ref_id, cand_id) WHERE NOT is_prod AND CAST(split_part(ref_id, '-', 2) AS INT) % 2 = 0",
     "family_combinations": _with(*_NARROW, _FAM_TABLE, _HITS) + "SELECT coalesce(c, 'NONE') AS combination, count(*) AS n FROM (SELECT m.ref_id, m.cand_id, string_agg(h.family, '+' ORDER BY h.family) AS c FROM missed m LEFT JOIN hits h USING (ref_id, cand_id) GROUP BY 1, 2) GROUP BY 1",
     "family_volume": _with(_R, _FAM_TABLE, "f AS (SELECT DISTINCT family FROM fam UNION SELECT unnest([" + ", ".join(f"'{n}'" for n in K.FAMILIES) + "]))", "s AS (SELECT entity_id FROM r WHERE source = 'S1')", "n AS (SELECT a.family, a.entity_id, count(DISTINCT b.entity_id) AS n FROM fam a JOIN fam b ON a.family = b.family AND a.parts = b.parts WHERE a.source = 'S1' AND b.source <> 'S1' GROUP BY 1, 2)")
     + "SELECT f.family, coalesce(sum(n), 0)::BIGINT AS total, round(avg(coalesce(n, 0)), 6) AS mean, max(coalesce(n, 0)) AS largest, count(*) FILTER (coalesce(n, 0) = 0) AS without FROM f CROSS JOIN s LEFT JOIN n ON n.family = f.family AND n.entity_id = s.entity_id GROUP BY 1",
@@ -642,7 +655,7 @@ QUERIES = {
         capped_index, capped_index_per_source, capped_index_parts, index_stats, blocking_candidates, blocking_candidates_capped, candidates_with_self,
         two_arms, a2_only_pairs, pair_faults, labelled_pairs, class_counts, pair_features_native, pair_features, bigram_similarity, matrix_health, unknown_records,
         source_profile, top_countries, truth_profile, truth_multiplicity, candidate_volume, blocking_recall, resolution_matrix, a2_yield, extrapolated_volume,
-        missed_pairs, miss_categories, miss_flags, miss_examples, capped_key_report, family_recovery, family_combinations, family_volume,
+        missed_pairs, miss_categories, miss_flags, miss_examples, capped_key_report, family_recovery, ranked_families, recovered_recall, family_combinations, family_volume,
         threshold_sweep, best_threshold, precision_recall, macro_fbeta, matching_results, first_sampled, restricted_pool, split_buckets, reference_split,
         logistic_coefficients, two_arm_models, linkage_features,
     )

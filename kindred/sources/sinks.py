@@ -66,6 +66,16 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def write_report(spark: SparkSession, report: DataFrame, path: str) -> str:
+    """(measure, value) rows, a few dozen, as path.json for programs and path.txt for readers; returns the text."""
+    rows = {r["measure"]: r["value"] for r in report.select("measure", "value").collect()}
+    width = max(map(len, rows), default=0)
+    text = "".join(f"{m:<{width}}  {v:,.6g}\n" if v is not None else f"{m:<{width}}  -\n" for m, v in rows.items())
+    write_text(spark, path + ".json", json.dumps(rows, indent=1, sort_keys=True))
+    write_text(spark, path + ".txt", text)
+    return text
+
+
 class Stages:
     """Stage outputs as Parquet with a manifest; a stage of other settings or rows is made anew."""
 

@@ -322,3 +322,10 @@ def test_paths(tmp_path):
         z.writestr("../evil.txt", "1")
     with pytest.raises(ValueError):
         tables.safe_extract(str(tmp_path / "b.zip"), str(tmp_path / "x"))
+
+
+def test_report(spark, tmp_path):
+    df = spark.createDataFrame([("a.total", 1234567.0), ("b", None)], "measure string, value double")
+    text = sinks.write_report(spark, df, str(tmp_path / "report"))
+    assert "1.23457e+06" in text and (tmp_path / "report.txt").read_text() == text
+    assert '"a.total": 1234567.0' in (tmp_path / "report.json").read_text()
