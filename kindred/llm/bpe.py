@@ -24,8 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from .workers import claim
+
 #: Words kept with their ids in one Python worker, twice over. Results don't depend on it.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 #: Bytes of output gathered before a batch goes back to Spark.
 BATCH_BYTES = 4_000_000
 
@@ -298,6 +300,7 @@ def encode_decode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", codec.cache_clear)
         c = codec(path)
         for batch in batches:
             keys, held, size = [], ([], [], []), 0

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workers import claim
+
 PROFILE = 300
 UNDETERMINED = "und"
 #: Words kept with their n-grams, and counted before they are handed on, in one Python worker.
@@ -88,6 +90,7 @@ def learn(docs: DataFrame, *, size: int = PROFILE, text: str = "text", lang: str
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         cache, held = _Grams(), {}
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -122,6 +125,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, key: str = "doc_id", text:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         cache = _Grams()
         for batch in batches:
             found = [profiles.predict(Counter(words_of(t.as_py())), cache) for t in batch.column(1)]
@@ -140,6 +144,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, *, least: float = 0.0, text:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         cache = _Grams()
         for batch in batches:
             known = map(stays, batch.column(batch.schema.get_field_index(text)), repeat(cache))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .storage import Scratch
+from .workers import claim
 
 BATCH_PIECES = 20_000
 
@@ -42,6 +43,7 @@ def pieces_of(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int =
     """(key, start, length, ids_crc32, doc_tokens, ids, worker, place): place counts a worker's pieces of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", bpe.codec.cache_clear)
         codec, worker, end = bpe.codec(path), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         count: dict[int, int] = {}
         for batch in batches:

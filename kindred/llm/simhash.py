@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .arrows import whole_groups
 from .components import connected_components
 from .storage import Scratch
+from .workers import claim
 
 SEED = 42
 #: Rows of an anchor that are compared at once.
@@ -51,6 +52,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3, seed: int = SEED, key: str
     """(key, fp) with the fingerprint as a signed 64-bit integer; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words, seed) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], [key, "fp"])
@@ -133,6 +135,7 @@ def links(fps: DataFrame, *, limit: int = 2, block: int = BLOCK, scratch: Scratc
     cells = as_home.unionByName(as_other)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         forest = _Forest()
         for table, at in whole_groups(batches, ["anchor", "i", "j"]):
             home = table["home"].to_numpy()

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import Scratch
+from .workers import claim
 
 LENGTH = 50
 _HALF = LENGTH // 2
@@ -326,6 +327,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, key: str = "doc_id", te
 
     def asking(kind: int):
         def ask(group, left: pa.Table, right: pa.Table) -> pa.Table:
+            claim("suffix")
             learnt = _Learnt(right)
             if not len(left):
                 return _table([])

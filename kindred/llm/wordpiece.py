@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe
+from .workers import claim
 
 #: Added to a word's last byte: an ending is another symbol than the same byte inside a word.
 _LAST = 256
@@ -110,6 +111,11 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+def _release() -> None:
+    counter.cache_clear()
+    bpe.codec.cache_clear()
+
+
 def token_counts(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens): greedy longest-match pieces of each whole text; no shuffle.
 
@@ -118,6 +124,7 @@ def token_counts(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("wordpiece", _release)
         c = counter(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.count(t.as_py()) for t in batch.column(1)], pa.int64())], [key, "n_tokens"])
