@@ -12,6 +12,7 @@ from ..functions.similarity import strict_bigram_jaccard
 from ..functions.text import script_class
 from .blocking import capped_keys, keyed
 
+# The flags' and categories' names, and where a similarity counts as low.
 LOW_SIMILARITY = 0.4
 EXAMPLES = 6
 FLAGS = (
@@ -21,6 +22,20 @@ FLAGS = (
     "street_prefix_differs", "country_disagrees", "country_only_blocker", "both_name_and_addr_weak",
     "SHARED_KEY_BUT_MISSED", "shared_key_was_capped",
 )
+CATEGORIES = {
+    "unavailable": "record unavailable",
+    "capped": "shared key truncated by cap={cap}",
+    "no_key": "no usable key on either side",
+    "no_name": "name unusable (address keys exist)",
+    "country": "country blocks an otherwise matching key",
+    "both": "both name and address keys differ",
+    "single_token": "1-token vs multi-token name (no padding)",
+    "script": "name key differs: different script",
+    "prefix": "name key differs: token/prefix mismatch",
+    "house": "address key differs: house number",
+    "street": "address key differs: street prefix",
+    "other": "other",
+}
 _RECORD = ("country", "name", "name_core", "address", "address_tokens", "address_alpha_tokens", "house_number", "name_is_missing", "address_is_missing")
 
 
@@ -111,20 +126,21 @@ def flagged(missed: DataFrame, records: DataFrame, config: K.BlockingConfig = K.
 def _category(config: K.BlockingConfig) -> Column:
     c = F.col
     unusable = c("name_missing_either") | c("name_no_core_token_either")
-    return (
-        F.when(~c("available"), "record unavailable")
-        .when(c("SHARED_KEY_BUT_MISSED"), f"shared key truncated by cap={config.max_group_size}")
-        .when(unusable & (c("addr_no_key_either") | c("addr_missing_either")), "no usable key on either side")
-        .when(unusable, "name unusable (address keys exist)")
-        .when(c("country_only_blocker"), "country blocks an otherwise matching key")
-        .when(c("name_key_differs") & c("addr_key_differs"), "both name and address keys differ")
-        .when(c("name_key_differs") & c("name_1tok_vs_multi"), "1-token vs multi-token name (no padding)")
-        .when(c("name_key_differs") & c("script_differs"), "name key differs: different script")
-        .when(c("name_key_differs"), "name key differs: token/prefix mismatch")
-        .when(c("addr_key_differs") & c("house_differs"), "address key differs: house number")
-        .when(c("addr_key_differs"), "address key differs: street prefix")
-        .otherwise("other")
-    )
+    name, address = c("name_key_differs"), c("addr_key_differs")
+    tests = {
+        "unavailable": ~c("available"),
+        "capped": c("SHARED_KEY_BUT_MISSED"),
+        "no_key": unusable & (c("addr_no_key_either") | c("addr_missing_either")),
+        "no_name": unusable,
+        "country": c("country_only_blocker"),
+        "both": name & address,
+        "single_token": name & c("name_1tok_vs_multi"),
+        "script": name & c("script_differs"),
+        "prefix": name,
+        "house": address & c("house_differs"),
+        "street": address,
+    }
+    return F.coalesce(*(F.when(test, CATEGORIES[k].format(cap=config.max_group_size)) for k, test in tests.items()), F.lit(CATEGORIES["other"]))
 
 
 def categories(flags: DataFrame) -> DataFrame:
