@@ -210,6 +210,12 @@ class Codec:
         """Ids as little-endian unsigned 32-bit integers; white space parts what can be known alone."""
         return b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").split(" ")))
 
+    def forget(self) -> None:
+        """Empties the word tables; for a task's end, as idle Python workers keep their memory."""
+        for t in (self.chunks, self.words):
+            t.clear()
+            t.older = {}
+
     def decode(self, ids: bytes) -> str:
         """Token names joined by a blank, as a tokenizers file without decoder has it."""
         return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -316,6 +322,7 @@ def encode_decode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str
                     keys, held, size = [], ([], [], []), 0
             if keys:
                 yield out(batch, keys, held)
+        c.forget()
 
     def out(batch, keys, held):
         return pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(held[0], pa.int64()), pa.array(held[1], pa.binary()), pa.array(held[2], pa.string())], [key, "n_tokens", "ids", "decoded"])

@@ -13,7 +13,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +23,8 @@ from .workers import claim
 
 PROFILE = 300
 UNDETERMINED = "und"
-#: Words kept with their n-grams, and counted before they are handed on, in one Python worker.
-CACHED_WORDS = 100_000
+#: Words of a language that a Python worker counts before it hands their n-grams on.
+MOST_WORDS = 50_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -33,35 +32,47 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def grams_of(word: str) -> np.ndarray:
-    """n-grams as integers: up to three code points of 21 bits, shorter ones with zeros before."""
-    c = np.array([32, *map(ord, word), 32], np.int64)
+def _windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters, pairs, triples) of words with one blank before, between and after them."""
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32).astype(np.int64)
     two = c[:-1] << 21 | c[1:]
-    return np.concatenate([c[1:-1], two, two[:-1] << 21 | c[2:]])
+    return c, two, two[:-1] << 21 | c[2:]
 
 
-class _Grams(dict):
-    def __missing__(self, word: str) -> np.ndarray:
-        grams = grams_of(word)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = grams
-        return grams
+def gram_counts(words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted n-grams, counts) of words that come so many times each.
+
+    n-grams are integers: up to three code points of 21 bits, shorter ones with zeros before.
+    """
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    c, two, three = _windows(list(words))
+    letter = c != 32
+    times = np.zeros(len(c), np.int64)
+    times[letter] = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    weights = np.concatenate([times[letter], np.maximum(times[:-1], times[1:]), times[1:-1][letter[1:-1]]])
+    grams, at = np.unique(np.concatenate([c[letter], two, three[letter[1:-1]]]), return_inverse=True)
+    return grams, np.bincount(at, weights, len(grams)).astype(np.int64)
 
 
-def gram_counts(words: Counter, cache: _Grams) -> tuple[np.ndarray, np.ndarray]:
+def text_counts(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for the words of one text as they stand."""
     if not words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    arrays = [cache[w] for w in words]
-    times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(a) for a in arrays])
-    grams, at = np.unique(np.concatenate(arrays), return_inverse=True)
-    return grams, np.bincount(at, times, len(grams)).astype(np.int64)
+    c, two, three = _windows(words)
+    letter = c != 32
+    grams = np.concatenate([c[letter], two, three[letter[1:-1]]])
+    grams.sort()
+    ends = np.flatnonzero(np.append(grams[1:] != grams[:-1], True))
+    return grams[ends], np.diff(ends, prepend=-1)
 
 
 def ranked(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    """The most frequent n-grams, ties by the smaller one."""
-    return grams[np.lexsort((grams, -counts))[:size]]
+    """The most frequent of sorted n-grams, ties by the smaller one."""
+    if len(counts) > size:
+        often = counts >= np.partition(counts, len(counts) - size)[len(counts) - size]
+        grams, counts = grams[often], counts[often]
+    return grams[np.argsort(-counts, kind="stable")[:size]]
 
 
 @dataclass(frozen=True)
@@ -71,8 +82,8 @@ class Profiles:
     ranks: np.ndarray  # language x n-gram; size where absent
     size: int
 
-    def predict(self, words: Counter, cache: _Grams) -> tuple[str, float]:
-        own = ranked(*gram_counts(words, cache), self.size)
+    def predict(self, words: list[str]) -> tuple[str, float]:
+        own = ranked(*text_counts(words), self.size)
         if not len(own) or not self.languages:
             return UNDETERMINED, 0.0
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
@@ -91,19 +102,19 @@ def learn(docs: DataFrame, *, size: int = PROFILE, text: str = "text", lang: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid")
-        cache, held = _Grams(), {}
+        held: dict[str, Counter] = {}
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = held.setdefault(name, Counter())
                 words.update(words_of(t.as_py()))
-                if len(words) > CACHED_WORDS:
-                    yield from out(name, held.pop(name), cache)
+                if len(words) > MOST_WORDS:
+                    yield out(name, held.pop(name))
         for name, words in held.items():
-            yield from out(name, words, cache)
+            yield out(name, words)
 
-    def out(name, words, cache):
-        grams, counts = gram_counts(words, cache)
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
+    def out(name, words):
+        grams, counts = gram_counts(words)
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
 
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text)
     sums = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -126,9 +137,8 @@ def identify(docs: DataFrame, profiles: Profiles, *, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid")
-        cache = _Grams()
         for batch in batches:
-            found = [profiles.predict(Counter(words_of(t.as_py())), cache) for t in batch.column(1)]
+            found = [profiles.predict(words_of(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [key, "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -145,14 +155,13 @@ def keep_known(docs: DataFrame, profiles: Profiles, *, least: float = 0.0, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid")
-        cache = _Grams()
         for batch in batches:
-            known = map(stays, batch.column(batch.schema.get_field_index(text)), repeat(cache))
+            known = map(stays, batch.column(batch.schema.get_field_index(text)))
             yield batch.filter(pa.array(list(known), pa.bool_()))
 
-    def stays(value: pa.Scalar, cache: _Grams) -> bool:
-        words = Counter(words_of(value.as_py()))  # of one text at a time
-        return bool(words) and (not profiles.languages or profiles.predict(words, cache)[1] >= least)
+    def stays(value: pa.Scalar) -> bool:
+        words = words_of(value.as_py())  # of one text at a time
+        return bool(words) and (not profiles.languages or profiles.predict(words)[1] >= least)
 
     return docs.mapInArrow(run, docs.schema)
 

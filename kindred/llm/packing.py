@@ -61,6 +61,7 @@ def pieces_of(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int =
                     rows = []
             if rows:
                 yield out(batch, rows)
+        codec.forget()
 
     def out(batch, rows):
         kinds = [batch.column(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]

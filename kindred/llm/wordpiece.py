@@ -128,6 +128,8 @@ def token_counts(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
         c = counter(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.count(t.as_py()) for t in batch.column(1)], pa.int64())], [key, "n_tokens"])
+        c.chunks.clear()
+        c.chunks.older = {}
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens long")

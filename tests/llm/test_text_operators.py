@@ -36,14 +36,31 @@ def test_prediction_knows_only_text(spark):
     assert langid.identify(asked.limit(0), profiles).count() == 0
 
 
+def test_counts_by_hand():
+    words = ["ab", "é", "ab", "b", "日本語x"]
+    expected = langid.Counter()
+    for w in words:
+        padded = f" {w} "
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                gram = padded[i : i + n]
+                if gram != " ":
+                    code = 0
+                    for c in gram:
+                        code = code << 21 | ord(c)
+                    expected[code] += 1
+    for grams, counts in (langid.text_counts(words), langid.gram_counts(langid.Counter(words))):
+        assert dict(zip(grams.tolist(), counts.tolist())) == expected and (grams[1:] > grams[:-1]).all()
+
+
 def test_ranks_and_distance():
     import numpy as np
 
-    grams, counts = langid.gram_counts(langid.Counter(["ab", "ab", "b"]), langid._Grams())
+    grams, counts = langid.text_counts(["ab", "ab", "b"])
     top = langid.ranked(grams, counts, 2).tolist()
     assert top == [ord("b"), ord("a")] or counts[list(grams).index(top[0])] == 3
     p = langid.Profiles(["x"], np.sort(np.array(top)), np.array([[0, 1]]) if top[0] < top[1] else np.array([[1, 0]]), 2)
-    assert p.predict(langid.Counter(["ab", "ab", "b"]), langid._Grams()) == ("x", 1.0)
+    assert p.predict(["ab", "ab", "b"]) == ("x", 1.0)
 
 
 @pytest.mark.parametrize("tokens", [1, 2, 1023, 2047, 2048, 2049, 9999])
