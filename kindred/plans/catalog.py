@@ -116,9 +116,9 @@ def capped_index_parts(spark, d):
     return blocking.build_index(_parts(spark, d), CAP).select("key", "source", "entity_id", "rn")
 
 
-def index_stats(spark, d):
+def index_stats(spark, d, config=CAP):
     r = _records(spark, d)
-    return blocking.index_stats(r.where("source <> 'S1'"), CAP)
+    return blocking.index_stats(r.where("source <> 'S1'"), config)
 
 
 def blocking_candidates(spark, d):
@@ -135,16 +135,16 @@ def candidates_with_self(spark, d):
     return blocking.generate_candidates(r.where("source = 'S1'"), blocking.build_index(r))
 
 
-def two_arms(spark, d):
-    return blocking.two_arms(_records(spark, d), CAP)
+def two_arms(spark, d, config=CAP):
+    return blocking.two_arms(_records(spark, d), config)
 
 
-def a2_only_pairs(spark, d):
-    return blocking.added_pairs(blocking.two_arms(_records(spark, d), CAP))
+def a2_only_pairs(spark, d, config=CAP):
+    return blocking.added_pairs(blocking.two_arms(_records(spark, d), config))
 
 
-def pair_faults(spark, d):
-    return blocking.pair_faults(blocking.two_arms(_records(spark, d), CAP))
+def pair_faults(spark, d, config=CAP):
+    return blocking.pair_faults(blocking.two_arms(_records(spark, d), config))
 
 
 def labelled_pairs(spark, d):
@@ -155,18 +155,18 @@ def class_counts(spark, d):
     return _rounded(matching.class_counts(labelled_pairs(spark, d)))
 
 
-def pair_features_native(spark, d):
+def pair_features_native(spark, d, config=CAP):
     r = _records(spark, d)
-    return _rounded(features.native_features(features.with_records(blocking.candidates(r, CAP), r), ["ref_id", "cand_id"]))
+    return _rounded(features.native_features(features.with_records(blocking.candidates(r, config), r), ["ref_id", "cand_id"]))
 
 
-def pair_features(spark, d):
+def pair_features(spark, d, config=CAP):
     r = _records(spark, d)
-    return features.featurize(blocking.candidates(r, CAP).select(*blocking.PAIR), r)
+    return features.featurize(blocking.candidates(r, config).select(*blocking.PAIR), r)
 
 
-def matrix_health(spark, d):
-    return features.health(pair_features(spark, d))
+def matrix_health(spark, d, config=CAP):
+    return features.health(pair_features(spark, d, config))
 
 
 def unknown_records(spark, d):
@@ -195,16 +195,16 @@ def candidate_volume(spark, d):
     return _rounded(profiles.volume(_refs(r), blocking.candidates(r)))
 
 
-def blocking_recall(spark, d):
-    return _rounded(profiles.recall(blocking.candidates(_records(spark, d), CAP), _edges(spark, d)))
+def blocking_recall(spark, d, config=CAP):
+    return _rounded(profiles.recall(blocking.candidates(_records(spark, d), config), _edges(spark, d)))
 
 
-def resolution_matrix(spark, d):
-    return profiles.resolution(blocking.two_arms(_records(spark, d), NARROW), _edges(spark, d))
+def resolution_matrix(spark, d, config=NARROW):
+    return profiles.resolution(blocking.two_arms(_records(spark, d), config), _edges(spark, d))
 
 
-def a2_yield(spark, d):
-    return _rounded(profiles.a2_yield(blocking.two_arms(_records(spark, d), CAP), _edges(spark, d)))
+def a2_yield(spark, d, config=CAP):
+    return _rounded(profiles.a2_yield(blocking.two_arms(_records(spark, d), config), _edges(spark, d)))
 
 
 def extrapolated_volume(spark, d):
@@ -220,50 +220,50 @@ def _loose_edges(spark, d) -> DataFrame:
     return left.join(r.where("source <> 'S1'").select(F.col("entity_id").alias("cand_id"), "start"), "start").select("ref_id", "cand_id")
 
 
-def _flags(spark, d) -> DataFrame:
+def _flags(spark, d, config=NARROW) -> DataFrame:
     r = _records(spark, d)
-    return diagnose.flagged(diagnose.missed_pairs(_loose_edges(spark, d), blocking.candidates(r, NARROW)), r, NARROW)
+    return diagnose.flagged(diagnose.missed_pairs(_loose_edges(spark, d), blocking.candidates(r, config)), r, config)
 
 
-def missed_pairs(spark, d):
-    return diagnose.missed_pairs(_loose_edges(spark, d), blocking.candidates(_records(spark, d), NARROW))
+def missed_pairs(spark, d, config=NARROW):
+    return diagnose.missed_pairs(_loose_edges(spark, d), blocking.candidates(_records(spark, d), config))
 
 
-def miss_categories(spark, d):
-    return diagnose.categories(_flags(spark, d))
+def miss_categories(spark, d, config=NARROW):
+    return diagnose.categories(_flags(spark, d, config))
 
 
-def miss_flags(spark, d):
-    return diagnose.flag_counts(_flags(spark, d))
+def miss_flags(spark, d, config=NARROW):
+    return diagnose.flag_counts(_flags(spark, d, config))
 
 
-def miss_examples(spark, d):
-    return diagnose.examples(_flags(spark, d))
+def miss_examples(spark, d, config=NARROW):
+    return diagnose.examples(_flags(spark, d, config))
 
 
-def capped_key_report(spark, d):
+def capped_key_report(spark, d, config=NARROW):
     r = _records(spark, d)
-    found = diagnose.capped_key_report(_flags(spark, d), r.where("source <> 'S1'"), NARROW)
+    found = diagnose.capped_key_report(_flags(spark, d, config), r.where("source <> 'S1'"), config)
     return found.select(F.replace("key", F.lit(K.SEPARATOR), F.lit("|")).alias("key"), "missed", "bucket", "was_capped")
 
 
-def family_recovery(spark, d):
-    return diagnose.recovery_counts(diagnose.recovery(missed_pairs(spark, d), _records(spark, d)))
+def family_recovery(spark, d, config=NARROW):
+    return diagnose.recovery_counts(diagnose.recovery(missed_pairs(spark, d, config), _records(spark, d)))
 
 
-def ranked_families(spark, d):
-    return diagnose.ranked_families(family_recovery(spark, d))
+def ranked_families(spark, d, config=NARROW):
+    return diagnose.ranked_families(family_recovery(spark, d, config))
 
 
-def recovered_recall(spark, d):
+def recovered_recall(spark, d, config=NARROW):
     """With the last digit of the candidate's id as score, even references as validation side."""
-    rows = matching.label_candidates(blocking.two_arms(_records(spark, d), NARROW), _loose_edges(spark, d))
+    rows = matching.label_candidates(blocking.two_arms(_records(spark, d), config), _loose_edges(spark, d))
     rows = rows.withColumns({"score": F.substring("cand_id", -1, 1).cast("double") / 10, "is_validation": F.substring_index("ref_id", "-", -1).cast("int") % 2 == 0})
     return matching.recovered_recall(rows, 0.5)
 
 
-def family_combinations(spark, d):
-    return diagnose.recovery_combinations(diagnose.recovery(missed_pairs(spark, d), _records(spark, d)))
+def family_combinations(spark, d, config=NARROW):
+    return diagnose.recovery_combinations(diagnose.recovery(missed_pairs(spark, d, config), _records(spark, d)))
 
 
 def family_volume(spark, d):
@@ -318,9 +318,9 @@ def reference_split(spark, d):
     return matching.split_by_reference(blocking.candidates(_records(spark, d))).groupBy("ref_id").agg(F.count_distinct("is_validation").alias("sides"), F.max("is_validation").alias("is_validation"))
 
 
-def bigram_similarity(spark, d):
+def bigram_similarity(spark, d, config=CAP):
     r = _records(spark, d)
-    joined = features.with_records(blocking.candidates(r, CAP), r)
+    joined = features.with_records(blocking.candidates(r, config), r)
     return _rounded(joined.select("ref_id", "cand_id", S.strict_bigram_jaccard(F.col("l_name"), F.col("r_name")).alias("similarity")))
 
 
@@ -485,14 +485,22 @@ def _sql_features() -> str:
     return ", ".join(f"{v} AS {k}" for k, v in made.items())
 
 
-_FEATURES = [_R, _K, _sql_candidates("p", "k", CAP.max_group_size), f"b AS (SELECT *, {_bi('name')} AS nb, {_bi('address')} AS ab FROM r)"]
-_NARROW = [
-    _R,
-    _sql_keys(NARROW),
-    _sql_candidates("p", "k", NARROW.max_group_size),
-    "loose AS (SELECT DISTINCT a.entity_id AS ref_id, b.entity_id AS cand_id FROM ent a JOIN ent b ON substr(a.business_name, 1, 10) = substr(b.business_name, 1, 10) WHERE a.source = 'S1' AND b.source <> 'S1')",
-    "missed AS (SELECT * FROM loose ANTI JOIN p USING (ref_id, cand_id))",
-]
+def _features_of(c: K.BlockingConfig) -> list[str]:
+    return [_R, _K, _sql_candidates("p", "k", c.max_group_size), f"b AS (SELECT *, {_bi('name')} AS nb, {_bi('address')} AS ab FROM r)"]
+
+
+def _missed_of(c: K.BlockingConfig) -> list[str]:
+    return [
+        _R,
+        _sql_keys(c),
+        _sql_candidates("p", "k", c.max_group_size),
+        "loose AS (SELECT DISTINCT a.entity_id AS ref_id, b.entity_id AS cand_id FROM ent a JOIN ent b ON substr(a.business_name, 1, 10) = substr(b.business_name, 1, 10) WHERE a.source = 'S1' AND b.source <> 'S1')",
+        "missed AS (SELECT * FROM loose ANTI JOIN p USING (ref_id, cand_id))",
+    ]
+
+
+_FEATURES = _features_of(CAP)
+_NARROW = _missed_of(NARROW)
 
 
 def _family_sql() -> dict[str, str]:
@@ -519,10 +527,10 @@ _FAM_TABLE = "fam AS (" + " UNION ALL ".join(f"SELECT source, entity_id, '{n}' A
 _HITS = "hits AS (SELECT DISTINCT m.ref_id, m.cand_id, x.family FROM missed m JOIN fam x ON x.entity_id = m.ref_id JOIN fam y ON y.entity_id = m.cand_id AND y.family = x.family AND y.parts = x.parts)"
 
 
-def _flag_sql() -> str:
+def _flag_sql(c: K.BlockingConfig) -> str:
     a, b = "x", "y"
     p4 = lambda s: f"list_transform(list_sort({s}.name_core), lambda t: substr(t, 1, 4))"
-    street = lambda s: f"list_distinct(list_transform({s}.address_alpha_tokens, lambda t: substr(t, 1, {NARROW.address_prefix})))"
+    street = lambda s: f"list_distinct(list_transform({s}.address_alpha_tokens, lambda t: substr(t, 1, {c.address_prefix})))"
     latin = lambda s: f"NOT regexp_matches({s}.name, '[^\\x00-\\x7F]')"  # noqa: E731  the view's names are all Latin
     short = f"least(len({a}.name_core), len({b}.name_core), 2)"
     strict = f"CASE WHEN length(x.name) < 2 OR length(y.name) < 2 THEN (x.name = y.name)::INT::DOUBLE ELSE {_jac('x.nb', 'y.nb')} END"
@@ -554,12 +562,13 @@ def _flag_sql() -> str:
     return ", ".join(f"coalesce({v}, false) AS \"{n}\"" for n, v in flags.items())
 
 
-_FLAGS = [
-    *_NARROW,
-    f"over_full AS (SELECT key FROM p_k WHERE source <> 'S1' GROUP BY key HAVING count(*) > {NARROW.max_group_size})",
-    f"desc_ AS (SELECT *, {_bi('name')} AS nb, {_FAM['name_nocountry']} AS fn, {_FAM['addr_nocountry']} AS fa FROM keyed)",
-    f"flags AS (SELECT m.ref_id, m.cand_id, list_intersect(x.k, y.k) AS shared, {_flag_sql()} FROM missed m JOIN desc_ x ON x.entity_id = m.ref_id JOIN desc_ y ON y.entity_id = m.cand_id)",
-    f"""cat AS (SELECT *, CASE WHEN "SHARED_KEY_BUT_MISSED" THEN 'shared key truncated by cap={NARROW.max_group_size}'
+def _flags_of(c: K.BlockingConfig) -> list[str]:
+    return [
+        *_missed_of(c),
+        f"over_full AS (SELECT key FROM p_k WHERE source <> 'S1' GROUP BY key HAVING count(*) > {c.max_group_size})",
+        f"desc_ AS (SELECT *, {_bi('name')} AS nb, {_FAM['name_nocountry']} AS fn, {_FAM['addr_nocountry']} AS fa FROM keyed)",
+        f"flags AS (SELECT m.ref_id, m.cand_id, list_intersect(x.k, y.k) AS shared, {_flag_sql(c)} FROM missed m JOIN desc_ x ON x.entity_id = m.ref_id JOIN desc_ y ON y.entity_id = m.cand_id)",
+        f"""cat AS (SELECT *, CASE WHEN "SHARED_KEY_BUT_MISSED" THEN 'shared key truncated by cap={c.max_group_size}'
  WHEN (name_missing_either OR name_no_core_token_either) AND (addr_no_key_either OR addr_missing_either) THEN 'no usable key on either side'
  WHEN name_missing_either OR name_no_core_token_either THEN 'name unusable (address keys exist)'
  WHEN country_only_blocker THEN 'country blocks an otherwise matching key'
@@ -569,7 +578,10 @@ _FLAGS = [
  WHEN name_key_differs THEN 'name key differs: token/prefix mismatch'
  WHEN addr_key_differs AND house_differs THEN 'address key differs: house number'
  WHEN addr_key_differs THEN 'address key differs: street prefix' ELSE 'other' END AS category FROM flags)""",
-]
+    ]
+
+
+_FLAGS = _flags_of(NARROW)
 _VOLUME = """SELECT count(*) AS n_references, coalesce(sum(n), 0)::BIGINT AS total, round(avg(n), 6) AS mean, max(n) AS largest, count(*) FILTER (n = 0) AS without,
   list_sort(list(n))[count(*) // 2 + 1] AS upper_median FROM (SELECT s.entity_id, count(p.cand_id) AS n FROM (SELECT entity_id FROM r WHERE source = 'S1') s LEFT JOIN p ON p.ref_id = s.entity_id GROUP BY 1)"""
 _LABELLED = [_R, _K, _sql_candidates("p", "k", 1000), _EDGES, "lab AS (SELECT p.*, CASE WHEN e.ref_id IS NOT NULL THEN 1 ELSE 0 END AS label FROM p LEFT JOIN edges e USING (ref_id, cand_id))"]
@@ -660,3 +672,46 @@ QUERIES = {
         logistic_coefficients, two_arm_models, linkage_features,
     )
 }
+
+
+def _at_default_cap(query):
+    def full(spark, d):
+        return query(spark, d, K.DEFAULT)
+
+    full.__name__, full.__doc__ = f"{query.__name__}_full", query.__doc__
+    return full
+
+
+#: The queries that CAP or NARROW cut short, with the default keys and cap over all rows.
+FULL = (
+    index_stats, two_arms, a2_only_pairs, pair_faults, pair_features_native, pair_features, bigram_similarity, matrix_health, blocking_recall, a2_yield,
+    resolution_matrix, missed_pairs, miss_categories, miss_flags, miss_examples, capped_key_report, family_recovery, ranked_families, recovered_recall, family_combinations,
+)
+QUERIES |= {f"{f.__name__}_full": _at_default_cap(f) for f in FULL}
+
+
+def _full_sql() -> dict[str, str]:
+    """The SQL of FULL: other beginnings for the ends that ORACLE_SQL has already."""
+    full, cap = K.DEFAULT, K.DEFAULT.max_group_size
+    begins = [
+        (_with(*_FLAGS), _with(*_flags_of(full))),
+        (_with(*_NARROW), _with(*_missed_of(full))),
+        (_with(*_NARROW, _FAM_TABLE, _HITS), _with(*_missed_of(full), _FAM_TABLE, _HITS)),
+        (_with(*_FEATURES), _with(*_features_of(full))),
+        (_with(*_arms(CAP)), _with(*_arms(full))),
+        (_with(*_arms(CAP), _EDGES), _with(*_arms(full), _EDGES)),
+        (_with(*_arms(NARROW), _EDGES), _with(*_arms(full), _EDGES)),
+        (_with(*_arms(NARROW), _NARROW[3]), _with(*_arms(full), _NARROW[3])),
+        (_with(_R, _K, _sql_candidates("p", "k", CAP.max_group_size), _EDGES), _with(_R, _K, _sql_candidates("p", "k", cap), _EDGES)),
+    ]
+    made = {"pair_faults_full": ORACLE_SQL["pair_faults"]}
+    for name in (f.__name__ for f in FULL):
+        for old, new in begins:
+            if ORACLE_SQL.get(name, "").startswith(old):
+                made[f"{name}_full"] = new + ORACLE_SQL[name][len(old) :]
+    made["capped_key_report_full"] = made["capped_key_report_full"].replace(f"bucket > {NARROW.max_group_size} AS", f"bucket > {cap} AS")
+    made["index_stats_full"] = ORACLE_SQL["index_stats"].replace("least(n, 5)", f"least(n, {cap})").replace("n > 5", f"n > {cap}")
+    return made
+
+
+ORACLE_SQL |= _full_sql()
