@@ -77,26 +77,56 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(found, r"\A[\"']|[\"']\z", "")
 
 
+def _without_dots(path: Column) -> Column:
+    """Path, empty or from a slash on, with its . and .. segments resolved."""
+    parts = F.split(F.substring(path, 2, F.length(path)), "/")
+    step = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    whole = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(whole, "/"))).otherwise(path)
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """Target of a link on the page base, by RFC 3986, 5.2; null if it has a scheme but no host.
+
+    base must hold ://.
+    """
+    scheme, path = F.substring_index(base, "://", 1), path_of(base)
+    site = F.concat(scheme, F.lit("://"), host_of(base))
+    folder = F.regexp_extract(path, r"(?s)\A.*/", 0)
+    full = (
+        F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("/"), F.concat(site, target))
+        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target))
+    )
+    part = lambda i: F.regexp_extract(full, r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)", i)
+    return (
+        F.when(target.startswith("?"), F.concat(site, path, target))
+        .when((target == "") | target.startswith("#"), F.concat(F.substring_index(base, "#", 1), target))
+        .when(part(1) != "", F.concat(part(1), _without_dots(part(2)), part(3)))
+    )
+
+
 def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src_url, dst_url) of canonical-link and refresh elements in raw HTML."""
+    """(src_url, dst_url) of canonical-link and refresh elements in raw HTML.
+
+    Targets are resolved against the page's URL; a base element is not read. Of character
+    references only &amp; is decoded.
+    """
     u, h = F.col(url), F.col(html)
     link = F.regexp_extract(h, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
     meta = F.regexp_extract(h, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
     lower = F.lower(h)
     canonical = F.when(lower.contains("canonical"), _attribute(link, "href"))
     refresh = F.when(lower.contains("refresh"), F.regexp_extract(_attribute(meta, "content"), r"(?is)url\s*=\s*[\"']?([^\"']*)", 1))
-    target = F.trim(F.col("dst"))
-    site = F.concat(F.substring_index(u, "://", 1), F.lit("://"), host_of(u))
-    absolute = (
-        F.when(target.contains("://"), target)
-        .when(target.startswith("//"), F.concat(F.substring_index(u, "://", 1), F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(site, target))
-    )
+    target = F.replace(F.regexp_replace("dst", r"(?s)\A[ \t\n\f\r]+|[ \t\n\f\r]+\z", ""), F.lit("&amp;"), F.lit("&"))
     return (
         pages.where(F.instr(u, "://") > 0)
         .select(u.alias(url), F.explode(F.array(canonical, refresh)).alias("dst"))
+        .select(F.col(url).alias("src_url"), target.alias("dst"))
         .where("dst <> ''")
-        .select(F.col(url).alias("src_url"), absolute.alias("dst_url"))
+        .select("src_url", resolved(F.col("src_url"), F.col("dst")).alias("dst_url"))
         .where("dst_url is not null")
     )
 
