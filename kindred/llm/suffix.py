@@ -21,6 +21,7 @@ one task: a name comes once from a chunk however often it occurs there.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -89,8 +90,10 @@ class Chunk:
 
     def __init__(self, keys: list, texts: list[bytes], copies: set):
         self.order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i]))
-        self.keys, self.texts, self.copies = keys, texts, copies
-        self.live = [i for i in self.order if keys[i] is not None and keys[i] not in copies and len(texts[i]) >= LENGTH]
+        self.keys, self.texts = keys, texts
+        some = {k for k, _ in copies}  # a row is a copy by its own text, not by its key's
+        self.copies = {i for i, k in enumerate(keys) if k in some and (k, hashlib.md5(texts[i]).digest()) in copies}
+        self.live = [i for i in self.order if keys[i] is not None and i not in self.copies and len(texts[i]) >= LENGTH]
         self.data = np.frombuffer(b"".join(texts[i] for i in self.live), np.uint8)
         self.begins = np.cumsum([0, *(len(texts[i]) for i in self.live)], dtype=np.int64)
         rank, doc, last = [], -1, None
@@ -168,7 +171,7 @@ class Chunk:
                 own = covered[self.begins[where[i]] : self.begins[where[i] + 1]]
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
                 yield i, turns.reshape(-1, 2)
-            elif self.keys[i] in self.copies and len(text) >= LENGTH:
+            elif i in self.copies:
                 yield i, np.array([[0, len(text)]])
             else:
                 yield i, np.zeros((0, 2), np.int64)
@@ -249,15 +252,16 @@ class _Learnt:
         new: dict[int, list[tuple[int, bytes]]] = {}
         for kind, part, data in zip(rows["kind"].to_pylist(), rows["part"].to_pylist(), rows["data"].to_pylist()):
             if kind == COPIES:
-                self.copies.add(part)
+                self.copies.add((part, data))
             elif kind >= KEEP:
                 self.keep[kind - KEEP] = data
             else:
                 new.setdefault(kind, []).append((part, data))
         if COPIES in self.keep:
-            self.copies = set(np.frombuffer(self.keep[COPIES], "<i8").tolist())
+            data = self.keep[COPIES]
+            self.copies = {(int.from_bytes(data[a : a + 8], "little", signed=True), data[a + 8 : a + 24]) for a in range(0, len(data), 24)}
         elif self.copies:
-            self.keep[COPIES] = np.array(sorted(self.copies), "<i8").tobytes()
+            self.keep[COPIES] = b"".join(k.to_bytes(8, "little", signed=True) + d for k, d in sorted(self.copies))
         for kind, parts in new.items():
             lines = 2 if kind == SECOND else 1
             bits = []
@@ -319,9 +323,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, *, key: str = "doc_id", te
 
     same = texts.where("key is not null").select("key", F.md5("text").alias("digest"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH)
     firsts = same.groupBy("digest", "n").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("last > first")
-    copies = same.join(firsts, ["digest", "n"]).where("key > first").select("key").distinct()
+    copies = same.join(firsts, ["digest", "n"]).where("key > first").select("key", "digest").distinct()
     copies, _ = scratch.put(copies, "copies")
-    told = copies.select(chunk.alias("chunk"), F.lit(COPIES).alias("kind"), F.col("key").alias("part"), F.lit(None).cast("binary").alias("data"))
+    told = copies.select(chunk.alias("chunk"), F.lit(COPIES).alias("kind"), F.col("key").alias("part"), F.unhex("digest").alias("data"))
 
     ranges = max(1, count // 4)
 
