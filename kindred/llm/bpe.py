@@ -5,7 +5,10 @@ merging by rank equals applying the rules one after another, and text that follo
 change a segmentation only through a chain of rules of rising rank, each of which ends
 on the symbol that its forerunner began with. The longest such chain, in bytes, is the
 sufficient lookahead: a token that ends that far before the end of what has been read is
-final. So a word of any length is encoded in a window of fixed size.
+final. So a word of any length is encoded in a window of fixed size, and every word goes
+through the transducer; a bounded table only remembers what it gave for short ones. A text
+is read in portions that end at a blank, and each portion's ids are decoded by a state
+machine over bytes before the next is read.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ from .workers import claim
 CACHED_WORDS = 150_000
 #: Bytes of output gathered before a batch goes back to Spark.
 BATCH_BYTES = 4_000_000
+#: Characters of a text that are encoded and decoded at once, up to the blank that follows.
+PORTION = 1 << 16
 
 
 class _Table(dict):
@@ -154,23 +159,17 @@ class MergeTransducer:
                         used += self.width[x]
                         yield x
                     held = held[used:]
-        if held:
-            yield from self.short(held)
-
-    def short(self, word: bytes) -> list[int]:
-        plain = self.plain
-        ids = [plain[b] for b in word]
-        ids[-1] = self.final[word[-1]]
-        return self._merge(ids)
-
-    def word(self, word: bytes) -> list[int]:
-        if len(word) > 2 * self.window:
-            return list(self.stream([word]))
-        return self.short(word) if word else []
+        if held:  # the word has ended, so all of it is stable
+            ids = [self.plain[b] for b in held]
+            ids[-1] = self.final[held[-1]]
+            yield from self._merge(ids)
 
 
 class Codec:
-    """A tokenizers file: its normalizer and word splitter, our encoder and decoder."""
+    """A tokenizers file: its normalizer and word splitter, our encoder and decoder.
+
+    Only files whose rules make a blank the end of a word are taken; others raise.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -182,17 +181,19 @@ class Codec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.transducer = MergeTransducer(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(set(t) & set(" \t\n\r\f\v") for t in self.added):
+            raise ValueError("an added token holds white space, so blanks don't part a text")
         self._added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         names = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.added.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self._symbols = byte_of_symbol()
         self._plain = _plain_pattern(spec)
-        self.words = _Table(lambda word: _packed(self.transducer.word(word)))
+        self.words = _Table(lambda word: _packed(list(self.transducer.stream([word]))))
         self.chunks = _Table(self._chunk)
 
     def split_words(self, text: str) -> list[bytes | int]:
         """Words in bytes; added tokens as their ids."""
-        if self._plain and _PLAIN.match(text) and "<|" not in text:
+        if _PLAIN.match(text) and not (self._added and self._added.search(text)):
             return [w.encode() for w in self._plain.findall(text.lower())]
         out: list[bytes | int] = []
         for part in self._added.split(text) if self._added else [text]:
@@ -206,9 +207,20 @@ class Codec:
     def _chunk(self, chunk: str) -> bytes:
         return b"".join([_packed([w]) if isinstance(w, int) else self.words[w] for w in self.split_words(chunk)])
 
+    def portions(self, text: str | None, size: int = PORTION) -> Iterator[bytes]:
+        """Ids as little-endian unsigned 32-bit integers, a portion of the text at a time.
+
+        What is held is a portion's, and the longest run without a blank.
+        """
+        at, text = 0, text or ""
+        while at < len(text):
+            end = text.find(" ", at + size) + 1 or len(text)
+            yield b"".join(map(self.chunks.__getitem__, text[at:end].replace("\n", " ").split(" ")))
+            at = end
+
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; white space parts what can be known alone."""
-        return b"".join(map(self.chunks.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        """All portions at once."""
+        return b"".join(self.portions(text))
 
     def forget(self) -> None:
         """Empties the word tables; for a task's end, as idle Python workers keep their memory."""
@@ -217,8 +229,24 @@ class Codec:
             t.older = {}
 
     def decode(self, ids: bytes) -> str:
-        """Token names joined by a blank, as a tokenizers file without decoder has it."""
-        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """What a tokenizers file without decoder gives: token names with blanks between."""
+        decoder = StreamDecoder(self)
+        return decoder.feed(np.frombuffer(ids, "<u4").tolist()) + decoder.end()
+
+    @cached_property
+    def name_bytes(self) -> list[bytes]:
+        """For each id, a blank and the token's name."""
+        return [b" " + name.encode() for name in self.names]
+
+    @cached_property
+    def text_bytes(self) -> list[bytes]:
+        """For each id, the bytes that it stands for; the suffix of a word's end is a blank."""
+        suffix, special, out = self.transducer.suffix, set(self.added.values()), []
+        for i, name in enumerate(self.names):
+            ended = bool(suffix) and name.endswith(suffix) and i not in special
+            body = name[: -len(suffix)] if ended else name
+            out.append((body.encode() if i in special else bytes(self._symbols[c] for c in body)) + b" " * ended)
+        return out
 
 
 #: Characters that no Unicode version normalizes or lower-cases in another way, without white space.
@@ -226,11 +254,25 @@ _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*\\Z")
 
 
 def _plain_pattern(spec: dict):
-    """The file's own split pattern for such characters, or None if it isn't of the known kind."""
+    """The file's own split pattern; raises if its rules are not of the one kind that is known here."""
     kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-    split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-    known = kinds == ["NFC", "Replace", "Lowercase"] and split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and [r["type"] for r in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
-    return regex.compile(split["pattern"]["Regex"]) if known else None
+    split, *rest = (spec.get("pre_tokenizer") or {}).get("pretokenizers", None) or [{}]
+    known = (
+        kinds == ["NFC", "Replace", "Lowercase"]
+        and split.get("type") == "Split"
+        and split.get("behavior") == "Removed"
+        and split.get("invert")
+        and [r["type"] for r in rest] == ["ByteLevel"]
+        and not rest[0]["add_prefix_space"]
+        and not rest[0]["use_regex"]
+    )
+    if not known or spec.get("decoder"):
+        raise ValueError("a tokenizers file is needed that normalizes by NFC, white space and case, keeps the matches of a pattern as words, and has no decoder")
+    return regex.compile(split["pattern"]["Regex"])
+
+
+#: Whole characters of one or two bytes, which leave the state machine where it was.
+_WHOLE = re.compile(b"(?:[\x00-\x7f]+|[\xc2-\xdf][\x80-\xbf])*")
 
 
 class ByteTextMachine:
@@ -245,17 +287,22 @@ class ByteTextMachine:
 
     def feed(self, data: bytes) -> str:
         out: list[str] = []
-        for b in data:
-            if self.need:
-                if self.low <= b <= self.high:
-                    self.value, self.need, self.low, self.high = self.value << 6 | b & 0x3F, self.need - 1, 0x80, 0xBF
-                    if not self.need:
-                        out.append(chr(self.value))
-                    continue
+        at = 0
+        while at < len(data):
+            if not self.need and (run := _WHOLE.match(data, at).end()) > at:
+                out.append(data[at:run].decode())
+                at = run
+                continue
+            b = data[at]
+            if self.need and not self.low <= b <= self.high:
                 out.append("\ufffd")
                 self.need, self.low, self.high = 0, 0x80, 0xBF
-            if b < 0x80:
-                out.append(chr(b))
+                continue  # b begins anew
+            at += 1
+            if self.need:
+                self.value, self.need, self.low, self.high = self.value << 6 | b & 0x3F, self.need - 1, 0x80, 0xBF
+                if not self.need:
+                    out.append(chr(self.value))
             elif 0xC2 <= b <= 0xDF:
                 self.need, self.value = 1, b & 0x1F
             elif 0xE0 <= b <= 0xEF:
@@ -272,21 +319,22 @@ class ByteTextMachine:
 
 
 class StreamDecoder:
-    """Ids in, readable text out, in any portions; the suffix of a word's end becomes a blank."""
+    """Ids in, text out, in any portions; keeps the state machine alone.
 
-    def __init__(self, codec: Codec):
-        symbols, suffix = byte_of_symbol(), codec.transducer.suffix
-        special = set(codec.added.values())
-        self.pieces = []
-        for i, name in enumerate(codec.names):
-            ended = bool(suffix) and name.endswith(suffix) and i not in special
-            body = name[: -len(suffix)] if ended else name
-            data = body.encode() if i in special else bytes(symbols[c] for c in body)
-            self.pieces.append(data + b" " * ended)
+    The text is what the library's decode gives for a file without decoder, or with
+    readable the text that the bytes of the ids make.
+    """
+
+    def __init__(self, codec: Codec, readable: bool = False):
+        self.pieces = codec.text_bytes if readable else codec.name_bytes
+        self.skip = 0 if readable else 1  # the blank before the first name
         self.machine = ByteTextMachine()
 
     def feed(self, ids: Iterable[int]) -> str:
-        return self.machine.feed(b"".join(map(self.pieces.__getitem__, ids)))
+        data = b"".join(map(self.pieces.__getitem__, ids))
+        if data and self.skip:
+            data, self.skip = data[1:], 0
+        return self.machine.feed(data)
 
     def end(self) -> str:
         return self.machine.end()
@@ -302,7 +350,8 @@ def encode_decode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str
 
     ids: little-endian unsigned 32-bit integers. Null counts as empty: no ids, empty text.
     Repeated rows and null keys are kept as they are; an empty table gives none. Each row
-    is worked on where it was read: no shuffle.
+    is worked on where it was read: no shuffle. Beside a row's own values a worker holds one
+    portion of its text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,8 +360,11 @@ def encode_decode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str
         for batch in batches:
             keys, held, size = [], ([], [], []), 0
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = c.encode(t.as_py())
-                decoded = c.decode(ids)
+                decoder, made, parts = StreamDecoder(c), [], []
+                for portion in c.portions(t.as_py()):
+                    made.append(portion)
+                    parts.append(decoder.feed(np.frombuffer(portion, "<u4").tolist()))
+                ids, decoded = b"".join(made), "".join(parts) + decoder.end()
                 keys.append(k)
                 for column, value in zip(held, (len(ids) // 4, ids, decoded)):
                     column.append(value)

@@ -68,7 +68,7 @@ def test_byte_text_machine(data, step):
 
 
 def test_stream_decoder(codec):
-    decoder = bpe.StreamDecoder(codec)
+    decoder = bpe.StreamDecoder(codec, readable=True)
     found = ids(codec.encode("Hello wörld 日本"))
     assert "".join(decoder.feed([i]) for i in found) + decoder.end() == "hello wörld 日本 "
 
@@ -86,3 +86,30 @@ def test_odd_rows(spark):
     got = bpe.encode_decode(df, word_bpe()).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, r.decoded) for r in got) == [(0, 2, "a</w> b</w>"), (1, 0, ""), (2, 0, ""), (2, 0, "")]
     assert bpe.encode_decode(df.limit(0), word_bpe()).count() == 0
+
+
+def test_ids_and_text_come_through_transducer_and_machine(library, monkeypatch):
+    codec = bpe.Codec(word_bpe())
+    streamed, fed = [], []
+    stream, feed = bpe.MergeTransducer.stream, bpe.ByteTextMachine.feed
+    monkeypatch.setattr(bpe.MergeTransducer, "stream", lambda self, parts: stream(self, streamed.append(list(parts)) or streamed[-1]))
+    monkeypatch.setattr(bpe.ByteTextMachine, "feed", lambda self, data: fed.append(data) or feed(self, data))
+    text = "Streams of words, größer 日本 words"
+    found = codec.encode(text)
+    assert ids(found) == library.encode(text, add_special_tokens=False).ids
+    assert codec.decode(found) == library.decode(ids(found), skip_special_tokens=False) == b"".join(fed).decode()
+    assert {p.decode() for parts in streamed for p in parts} == {"streams", "of", "words", ",", "größer", "日本"}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.sampled_from("ab é日\n\u0301"), max_size=80), st.integers(0, 9))
+def test_portions(text, size):
+    codec = bpe.codec(word_bpe())
+    assert ids(b"".join(codec.portions(text, size))) == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files_are_refused():
+    from public_tokenizers import path
+
+    with pytest.raises(ValueError):
+        bpe.Codec(path("byte_bpe_50k.json"))
