@@ -76,7 +76,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), word_bpe(), Scratch(spark))
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe())
 
 
 QUERIES = {

@@ -1,14 +1,15 @@
 """Language ID, packing and token counts."""
 
+import random
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
 from kindred.llm import bpe, langid, packing, wordpiece
 from kindred.llm.queries import op6_token_counts, op7_language_id, op10_packing, word_bpe
-from kindred.llm.storage import Scratch
 
 from . import brute
 
@@ -63,30 +64,66 @@ def test_ranks_and_distance():
     assert p.predict(["ab", "ab", "b"]) == ("x", 1.0)
 
 
-@pytest.mark.parametrize("tokens", [1, 2, 1023, 2047, 2048, 2049, 9999])
-def test_cut(tokens):
-    pieces = list(packing.cut(tokens, 2048))
-    assert sum(n for _, n in pieces) == tokens and all(n & (n - 1) == 0 and n <= 2048 for _, n in pieces)
-    assert [s for s, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
+@pytest.mark.parametrize("capacity", [1, 2, 7, 64, 2048])
+def test_harmonic_bins(capacity):
+    rng = random.Random(capacity)
+    lengths = [rng.choice([1, 1, 2, 3, capacity, capacity + 1, rng.randint(1, 3 * capacity)]) for _ in range(400)]
+    packer, made = packing.Packer(capacity), []
+    for i, n in enumerate(lengths):
+        held = [p for k in packer.open.values() for p in k] + packer.filling * bool(packer.gap)
+        assert all(len(b) < k and all(capacity // p[2] == k for p in b) for k, b in packer.open.items())
+        assert sum(p[2] for p in held) <= capacity * (len(packer.open) + 1)
+        made += packer.add(i, bytes(range(4)) * n)
+    early = len(made)
+    made += packer.finish()
+    assert all(sum(p[2] for p in s) == capacity for s in made[:early])
+    sizes = [sum(p[2] for p in s) for s in made]
+    short = [n for n in sizes if n < capacity]
+    assert len(set(short)) == len(short) and all(n & (n - 1) == 0 for n in short) and sum(sizes) == sum(lengths)
+    at = dict.fromkeys(range(len(lengths)), 0)
+    for key, start, length, ids, total in sorted(p for s in made for p in s):
+        assert start == at[key] and total == lengths[key] and len(ids) == 4 * length
+        at[key] += length
+    assert list(at.values()) == lengths
+
+
+def test_whole_documents_are_cut_only_to_fill():
+    packer = packing.Packer(100)
+    assert list(packer.add("a", bytes(4 * 40))) == [] and list(packer.add("b", bytes(4 * 40))) == []  # class 2, 20 left
+    (bin_,) = packer.add("c", bytes(4 * 60))
+    assert [(p[0], p[1], p[2]) for p in bin_] == [("a", 0, 40), ("b", 0, 40), ("c", 0, 20)]
+    assert [(p[0], p[1], p[2]) for p in packer.open[2]] == [("c", 20, 40)]
 
 
 def test_packing_query(spark, sf):
     library = Tokenizer.from_file(word_bpe())
     docs = pd.read_parquet(f"{sf}/documents.parquet")
     ids = {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in zip(docs["doc_id"], docs["text"])}
-    assert brute.check_packing(op10_packing(spark, sf).toPandas(), ids) == 0
+    packed = op10_packing(spark, sf)
+    assert brute.check_packing(packed.toPandas(), ids) == 0
+    told = packing.report(packed).first()
+    assert (told.documents, told.tokens, told.padding) == (len(ids), sum(map(len, ids.values())), 0)
+    assert told.pieces <= told.documents + 2 * told.sequences
 
 
 def test_packing_odd_rows(spark):
-    df = spark.createDataFrame([(1, None, 0), (2, "", 1), (3, "a " * 5000, 2), (4, "b", 3)], "doc_id long, text string, length int").repartition(3)
-    got = packing.pack(df, word_bpe(), Scratch(spark), keep_ids=True, capacity=64).toPandas()
-    codec = bpe.codec(word_bpe())
-    ids = {i: [*__import__("numpy").frombuffer(codec.encode(t), "<u4").tolist(), 1] for i, t in ((1, None), (2, ""), (3, "a " * 5000), (4, "b"))}
-    assert brute.check_packing(got.drop(columns="ids"), ids, 64) == 0
-    assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in got.itertuples())
-    assert packing.pack(df.limit(0), word_bpe(), Scratch(spark)).count() == 0
+    rows = [(1, None, 0), (2, "", 1), (3, "a " * 5000, 2), (4, "b", 3), (4, "b", 3), (None, "c", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length int").repartition(3)
+    for capacity in (64, 1000):
+        got = packing.pack(df, word_bpe(), keep_ids=True, capacity=capacity).toPandas()
+        codec = bpe.codec(word_bpe())
+        once = got[got["doc_id"].isin([1, 2, 3])]
+        ids = {i: [*np.frombuffer(codec.encode(t), "<u4").tolist(), 1] for i, t, _ in rows[:3]}
+        for i, g in once.sort_values("start").groupby("doc_id"):
+            assert np.frombuffer(b"".join(g["ids"]), "<u4").tolist() == ids[i]
+        assert (got["doc_id"] == 4).sum() >= 2 and got["doc_id"].isna().sum() >= 1
+        assert got["length"].sum() == sum(map(len, ids.values())) + 6
+        assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in got.itertuples())
+        sizes = got.groupby("sequence_id")["length"].sum()
+        assert all(n == capacity or n & (n - 1) == 0 for n in sizes)
+    assert packing.pack(df.limit(0), word_bpe()).count() == 0
     with pytest.raises(ValueError):
-        packing.pack(df, word_bpe(), Scratch(spark), capacity=1000)
+        packing.pack(df, word_bpe(), capacity=0)
 
 
 def greedy(word: bytes, pieces: set) -> int | None:
