@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +24,23 @@ from .workers import claim
 
 PROFILE = 300
 UNDETERMINED = "und"
-#: Words of a language that a Python worker counts before it hands their n-grams on.
-MOST_WORDS = 50_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Distinct words, over all languages, that a Python worker counts before it hands their n-grams on.
+MOST_WORDS = 200_000
+#: Languages that may be learnt; a table with more labels than this is refused, not cut.
+MOST_LANGUAGES = 5_000
+#: Labelled rows that a least score is fitted on, the share of them that may lie under the
+#: score it starts from, the part of that score that is asked for, and the number of
+#: labelled rows at which half of it is trusted.
+SAMPLE, BELOW, PART, TRUST = 50_000, 0.001, 0.75, 20
+_WORDS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased. Numbers that Python counts as word characters, such as
+    superscripts, fractions and Roman numeral signs, are no letters."""
+    words = _WORDS.findall(text.lower()) if text else []
+    return words if "".join(words).isalpha() else [w for word in words for w in _LETTERS.findall(word)]
 
 
 def _windows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,20 +108,24 @@ def learn(docs: DataFrame, *, size: int = PROFILE, text: str = "text", lang: str
     """Profiles from all rows with a language; n-grams are counted over their whole texts.
 
     Only the profiles (size n-grams for each language) come to the driver. Null texts and
-    null languages teach nothing; without any language the profiles are empty.
+    null languages teach nothing; without any language the profiles are empty. A worker
+    holds the words of one text and MOST_WORDS others at once.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid")
         held: dict[str, Counter] = {}
+        n = 0
         for batch in batches:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = held.setdefault(name, Counter())
+                before = len(words)
                 words.update(words_of(t.as_py()))
-                if len(words) > MOST_WORDS:
-                    yield out(name, held.pop(name))
-        for name, words in held.items():
-            yield out(name, words)
+                n += len(words) - before
+                if n > MOST_WORDS:
+                    yield from map(out, held, held.values())
+                    held, n = {}, 0
+        yield from map(out, held, held.values())
 
     def out(name, words):
         grams, counts = gram_counts(words)
@@ -119,12 +134,15 @@ def learn(docs: DataFrame, *, size: int = PROFILE, text: str = "text", lang: str
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), text)
     sums = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    rows = sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size).select("lang", "gram", "rank").collect()
+    rows = sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= size).select("lang", "gram", "rank").limit(size * MOST_LANGUAGES + 1).collect()
+    if len(rows) > size * MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
     languages = sorted({r.lang for r in rows})
+    place = {name: i for i, name in enumerate(languages)}
     grams = np.unique(np.array([r.gram for r in rows], np.int64))
     ranks = np.full((len(languages), len(grams)), size, np.int64)
     for r in rows:
-        ranks[languages.index(r.lang), np.searchsorted(grams, r.gram)] = r["rank"] - 1
+        ranks[place[r.lang], np.searchsorted(grams, r.gram)] = r["rank"] - 1
     return Profiles(languages, grams, ranks, size)
 
 
@@ -133,6 +151,7 @@ def identify(docs: DataFrame, profiles: Profiles, *, key: str = "doc_id", text:
 
     score: 1 less the distance over its largest value. Null texts, texts without a letter
     and empty profiles give 'und' and 0; equal distances go to the first language by name.
+    A text is read whole, whatever its length; a worker holds the n-grams of one at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,23 +164,51 @@ def identify(docs: DataFrame, profiles: Profiles, *, key: str = "doc_id", text:
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, *, least: float = 0.0, text: str = "text") -> DataFrame:
-    """Rows of docs, all columns as they are, whose language is found with a score of least or more.
+def least_score(docs: DataFrame, profiles: Profiles, *, sample: int = SAMPLE, below: float = BELOW, part: float = PART, text: str = "text", lang: str = "lang") -> float:
+    """Score under which a text is in none of the profiles' languages.
 
-    Rows without a word (null texts, no letters) go. Without profiles all others stay, as
-    nothing speaks against them. Nothing is shuffled or joined: a row is judged where it was
-    read.
+    Fitted on labelled rows: part of the score that all but a share of below of them reach.
+    Of more than sample such rows those of least hash, about sample, are scored. Profiles
+    learnt from few rows know those rows by heart, so with n rows it is lowered by n / (n +
+    TRUST). 0 without labelled rows.
     """
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    n = known.select(lang).count()
+    if not n or not profiles.languages:
+        return 0.0
+    if n > sample:
+        known = known.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    scored = identify(known.select(F.lit(0).alias("key"), text), profiles, key="key", text=text)
+    found = scored.where(F.col("lang_pred") != UNDETERMINED).agg(F.percentile_approx("score", below, 10_000)).first()[0]
+    return part * (found or 0.0) * n / (n + TRUST)
+
+
+def keep_known(docs: DataFrame, profiles: Profiles, *, least: float = 0.0, languages: Collection[str] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows of docs whose language is found with a score of least or more, with it in lang.
+
+    languages: those to keep, by default all that were learnt. Rows without a letter (null
+    texts, too) go, as do texts that no profile fits. Without profiles all others stay with
+    the lang they have, as nothing speaks against them. Other columns, and the order of all,
+    stay; a table without lang gets none. Nothing is shuffled or joined: a row is judged
+    where it was read.
+    """
+    wanted = None if languages is None else frozenset(languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid")
         for batch in batches:
-            known = map(stays, batch.column(batch.schema.get_field_index(text)))
-            yield batch.filter(pa.array(list(known), pa.bool_()))
-
-    def stays(value: pa.Scalar) -> bool:
-        words = words_of(value.as_py())  # of one text at a time
-        return bool(words) and (not profiles.languages or profiles.predict(words)[1] >= least)
+            found = [language_of(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
+            at = batch.schema.get_field_index(lang)
+            if at >= 0 and profiles.languages:
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([f or None for f in found], pa.string()).cast(batch.schema.field(at).type))
+            yield batch.filter(pa.array([f is not None for f in found], pa.bool_()))
+
+    def language_of(value: str | None) -> str | None:
+        words = words_of(value)  # of one text at a time
+        if not words or not profiles.languages:
+            return "" if words else None
+        name, score = profiles.predict(words)
+        return name if score >= least and (wanted is None or name in wanted) else None
 
     return docs.mapInArrow(run, docs.schema)
 
