@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -59,3 +60,43 @@ def test_query(spark, sf):
     for r in op9_suffix_dedup(spark, sf).collect():
         data, spans, kept = expected[r.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(data), len(data) - len(kept), len(spans), brute.sha(kept))
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefgh"])
+def test_pointers_are_equal_for_equal_strings_only(letters):
+    rng = random.Random(letters)
+    for n in (50, 51, 200, 3000):
+        text = "".join(rng.choices(letters, k=n)).encode()
+        if n > 200:
+            text = text[:900] + text[:900] + text[300:]
+        pointer = suffix.refine(np.frombuffer(text, np.uint8))
+        strings = [text[i : i + 50] for i in range(len(text) - 49)]
+        by = {}
+        for s, p in zip(strings, pointer.tolist()):
+            assert by.setdefault(s, p) == p
+        assert len(set(by.values())) == len(by)
+        assert [s for s, _ in sorted(by.items())] == [s for s, _ in sorted(by.items(), key=lambda x: x[1])]
+
+
+def test_equal_sums_of_other_texts_stay_apart(monkeypatch):
+    monkeypatch.setattr(suffix, "_PLACE", np.zeros(100, np.uint64))  # every sum is the same
+    data = np.frombuffer(b"abcabdabcxyabcab", np.uint8)
+    first, size = np.array([0, 3, 6, 9, 11, 14]), np.array([3, 3, 3, 2, 3, 2])
+    number, one = suffix.distinct(data, first, size)
+    text = [bytes(data[a : a + n]) for a, n in zip(first, size)]
+    assert [text[one[n]] for n in number] == text and len(one) == len(set(text)) == 4
+
+
+@pytest.mark.parametrize("size", [100, 1000, 30_000])
+def test_chunks_are_cut_by_bytes(spark, size):
+    rng = random.Random(size)
+    rows = [(i // 2 if i < 60 else i * i, "x" * rng.choice([0, 3, 400, 2500])) for i in range(300)] + [(None, "y" * 900)] * 9
+    texts = spark.createDataFrame(rows, "key long, text string").selectExpr("key", "cast(text as binary) text")
+    placed, _ = suffix.chunked(texts, Scratch(spark), size)
+    got = placed.selectExpr("chunk", "key", "octet_length(text) n").toPandas()
+    assert len(got) == len(rows) and (got[got["key"].isna()]["chunk"] < 0).all()
+    got = got[got["key"].notna()]
+    assert got.groupby("key")["chunk"].nunique().max() == 1
+    bounds = got.groupby("chunk").agg(low=("key", "min"), high=("key", "max"), n=("n", "sum"), most=("n", "max")).sort_index()
+    assert (bounds["low"].to_numpy()[1:] > bounds["high"].to_numpy()[:-1]).all()
+    assert (bounds["n"] <= size + 2 * bounds["most"]).all()
