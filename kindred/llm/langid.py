@@ -200,7 +200,7 @@ def keep_known(docs: DataFrame, profiles: Profiles, *, least: float = 0.0, langu
             found = [language_of(t.as_py()) for t in batch.column(batch.schema.get_field_index(text))]
             at = batch.schema.get_field_index(lang)
             if at >= 0 and profiles.languages:
-                batch = batch.set_column(at, batch.schema.field(at), pa.array([f or None for f in found], pa.string()).cast(batch.schema.field(at).type))
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(found, pa.string()).cast(batch.schema.field(at).type))
             yield batch.filter(pa.array([f is not None for f in found], pa.bool_()))
 
     def language_of(value: str | None) -> str | None:

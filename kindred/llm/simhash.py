@@ -38,7 +38,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
         shingles = [b" ".join(w)]
     else:
         shingles = map(b" ".join, zip(*(w[i:] for i in range(words))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if more than half of the hashes have it."""
     n, total = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         total += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import unicodedata
+import zlib
+from collections import Counter
 
 import numpy as np
 import xxhash
-import zlib
 
 
 def components(n: int, pairs) -> list[int]:
@@ -42,6 +45,55 @@ def simhash_groups(docs: dict) -> dict:
     return {i: (fps[n], ids[c]) for n, (i, c) in enumerate(zip(ids, components(len(ids), pairs)))}
 
 
+def shingles(text: str, k: int = 5) -> set:
+    w = text.lower().split()
+    return {tuple(w)} if len(w) < k else set(zip(*(w[i:] for i in range(k))))
+
+
+def first_of_near_copies(docs: dict) -> set:
+    """Ids that no smaller one reaches by links of a Jaccard similarity of 0.8 of 5-word shingles."""
+    ids, sets = sorted(docs), {i: shingles(t) for i, t in docs.items()}
+    pairs = [(a, b) for a, i in enumerate(ids) for b, j in enumerate(ids[:a]) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    label = components(len(ids), pairs)
+    return {ids[n] for n, c in enumerate(label) if c == n}
+
+
+def letter_grams(text: str | None) -> Counter:
+    """n-grams of one to three characters of lower-cased words of letters, a blank on either side."""
+    found = Counter()
+    for word in "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()).split():
+        padded = f" {word} "
+        found.update(g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " ")
+    return found
+
+
+def rank_order(counts: Counter, size: int = 300) -> list[str]:
+    """The most frequent n-grams, ties by length, then by code points."""
+    return sorted(counts, key=lambda g: (-counts[g], len(g), [ord(c) for c in g]))[:size]
+
+
+def language_profiles(labelled: list[tuple[str, str]]) -> dict[str, dict[str, int]]:
+    counts: dict[str, Counter] = {}
+    for text, lang in labelled:
+        counts.setdefault(lang, Counter()).update(letter_grams(text))
+    return {lang: {g: n for n, g in enumerate(rank_order(c))} for lang, c in sorted(counts.items())}
+
+
+def language(text: str | None, profiles: dict, size: int = 300) -> tuple[str, float]:
+    own = rank_order(letter_grams(text), size)
+    if not own or not profiles:
+        return "und", 0.0
+    away = {lang: sum(abs(ranks[g] - n) if g in ranks else size for n, g in enumerate(own)) for lang, ranks in profiles.items()}
+    best = min(away, key=lambda lang: (away[lang], lang))
+    return best, 1 - away[best] / (size * len(own))
+
+
+def least_language_score(labelled: list[tuple[str, str]], profiles: dict) -> float:
+    scores = sorted(s for name, s in (language(t, profiles) for t, _ in labelled) if name != "und")
+    n = len(labelled)
+    return 0.75 * scores[max(1, math.ceil(len(scores) / 1000)) - 1] * n / (n + 20)
+
+
 def cut_repeats(docs: dict, length: int = 50) -> dict:
     """doc_id -> (bytes, spans, kept)."""
     seen, out = set(), {}

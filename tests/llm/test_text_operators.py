@@ -24,6 +24,49 @@ def test_language_held_out_accuracy(spark):
     assert len(held) > 100 and (held["lang_pred"].to_numpy() == docs.loc[held["doc_id"], "lang"].to_numpy()).mean() >= 0.98
 
 
+def test_language_query_by_brute_force(spark, sf):
+    docs = pd.read_parquet(f"{sf}/documents.parquet")
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in docs["doc_id"]}
+    profiles = brute.language_profiles([(t, lang) for i, t, lang in zip(docs["doc_id"], docs["text"], docs["lang"]) if not held[i]])
+    got = {r.doc_id: r for r in op7_language_id(spark, sf).collect()}
+    assert set(got) == set(docs["doc_id"])
+    for i, t in zip(docs["doc_id"], docs["text"]):
+        name, score = brute.language(t, profiles)
+        assert (got[i].held_out, got[i].lang_pred) == (held[i], name) and abs(got[i].score - score) < 1e-12
+
+
+def test_only_letters_make_words(spark):
+    rows = [(1, "½ ² ① Ⅷ"), (2, "٣ 7 _ !"), (3, "x²y"), (4, "ʰ"), (5, "日本"), (6, "ab " * 400_000)]
+    asked = spark.createDataFrame(rows, "doc_id long, text string")
+    profiles = langid.learn(spark.createDataFrame([("ab xy", "a"), ("cd", "b")], "text string, lang string"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(asked, profiles).collect()}
+    assert got[1] == got[2] == ("und", 0.0) and got[3][0] == "a" and got[4][0] != "und" and got[5] == ("a", 0.0) and got[6][0] == "a"
+    assert langid.words_of("A x²y ½b") == ["a", "x", "y", "b"]
+
+
+def test_words_of_all_languages_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"wort{i} mot{i % 7}", f"l{i % 5}") for i in range(200)], "text string, lang string").coalesce(1)
+    whole = langid.learn(docs)
+    monkeypatch.setattr(langid, "MOST_WORDS", 10)
+    parts = langid.learn(docs)
+    assert parts.languages == whole.languages and (parts.grams == whole.grams).all() and (parts.ranks == whole.ranks).all()
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 4)
+    monkeypatch.setattr(langid, "PROFILE", 3)
+    with pytest.raises(ValueError):
+        langid.learn(docs, size=3)
+
+
+def test_keep_known(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de"), (3, "the cat", None), (4, "zzz qqq", None), (5, "12", "en")], "doc_id long, text string, lang string")
+    profiles = langid.learn(docs.where("doc_id < 3"))
+    kept = lambda **options: {r.doc_id: r.lang for r in langid.keep_known(docs, profiles, **options).collect()}
+    assert kept(least=0.3) == {1: "en", 2: "de", 3: "en"}
+    assert kept(least=0.3, languages=["de"]) == {2: "de"}
+    assert set(kept()) == {1, 2, 3, 4}
+    nothing = langid.learn(docs.limit(0))
+    assert langid.least_score(docs, nothing) == 0 and {r.doc_id: r.lang for r in langid.keep_known(docs, nothing).collect()} == {1: "en", 2: "de", 3: None, 4: None}
+
+
 def test_prediction_knows_only_text(spark):
     docs = spark.createDataFrame([(1, "the cat sat on the mat", "en", "x"), (2, "der hund und die katze", "de", "y"), (3, None, "de", "z"), (5, "und und und", None, "w")], "doc_id long, text string, lang string, score string")
     profiles = langid.learn(docs)
@@ -55,13 +98,14 @@ def test_counts_by_hand():
 
 
 def test_ranks_and_distance():
-    import numpy as np
-
     grams, counts = langid.text_counts(["ab", "ab", "b"])
-    top = langid.ranked(grams, counts, 2).tolist()
-    assert top == [ord("b"), ord("a")] or counts[list(grams).index(top[0])] == 3
-    p = langid.Profiles(["x"], np.sort(np.array(top)), np.array([[0, 1]]) if top[0] < top[1] else np.array([[1, 0]]), 2)
+    code = lambda g: sum(ord(c) << 21 * n for n, c in enumerate(reversed(g)))
+    top = langid.ranked(grams, counts, 3).tolist()
+    assert top == [code("b"), code("b "), code("a")]  # 3 of each of the first, then 2, the shorter first
+    p = langid.Profiles(["x"], np.sort(np.array(top)), np.array([[2, 0, 1]]), 3)
     assert p.predict(["ab", "ab", "b"]) == ("x", 1.0)
+    swapped = langid.Profiles(["x"], np.sort(np.array(top)), np.array([[0, 2, 1]]), 3)
+    assert swapped.predict(["ab", "ab", "b"]) == ("x", 1 - 4 / 9)
 
 
 @pytest.mark.parametrize("capacity", [1, 2, 7, 64, 2048])
