@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .workers import claim
+from .workers import claim, trim
 
 #: Words kept with their ids in one Python worker, twice over. Results don't depend on it.
 CACHED_WORDS = 150_000
@@ -227,6 +227,7 @@ class Codec:
         for t in (self.chunks, self.words):
             t.clear()
             t.older = {}
+        trim()
 
     def decode(self, ids: bytes) -> str:
         """What a tokenizers file without decoder gives: token names with blanks between."""

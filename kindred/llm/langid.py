@@ -25,13 +25,13 @@ from .workers import claim
 PROFILE = 300
 UNDETERMINED = "und"
 #: Distinct words, over all languages, that a Python worker counts before it hands their n-grams on.
-MOST_WORDS = 200_000
+MOST_WORDS = 40_000
 #: Languages that may be learnt; a table with more labels than this is refused, not cut.
 MOST_LANGUAGES = 5_000
 #: Labelled rows that a least score is fitted on, the share of them that may lie under the
 #: score it starts from, the part of that score that is asked for, and the number of
 #: labelled rows at which half of it is trusted.
-SAMPLE, BELOW, PART, TRUST = 50_000, 0.001, 0.75, 20
+SAMPLE, BELOW, PART, TRUST = 50_000, 0.01, 0.6, 20
 _WORDS = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}+")
 

@@ -91,7 +91,7 @@ def language(text: str | None, profiles: dict, size: int = 300) -> tuple[str, fl
 def least_language_score(labelled: list[tuple[str, str]], profiles: dict) -> float:
     scores = sorted(s for name, s in (language(t, profiles) for t, _ in labelled) if name != "und")
     n = len(labelled)
-    return 0.75 * scores[max(1, math.ceil(len(scores) / 1000)) - 1] * n / (n + 20)
+    return 0.6 * scores[max(1, math.ceil(len(scores) / 100)) - 1] * n / (n + 20)
 
 
 def cut_repeats(docs: dict, length: int = 50) -> dict:
