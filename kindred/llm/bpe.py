@@ -142,27 +142,31 @@ class MergeTransducer:
                 heapq.heappush(heap, (q, h))
         return [x for x, dead in zip(ids, gone) if not dead]
 
-    def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
-        """Ids of one word that arrives in parts; keeps a window of it, whatever its length."""
+    def stream(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
+        """Ids of one word that arrives in parts, as they are stable; keeps a window of it, whatever its length."""
         if not self.proper:
             parts = [b"".join(parts)]
-        held = b""
+        held, most = b"", 2 * self.window if self.proper else sys.maxsize
         for part in parts:
+            if len(held) + len(part) <= most:
+                held += part
+                continue
             for at in range(0, len(part), self.window):
                 held += part[at : at + self.window]
-                if self.proper and len(held) > 2 * self.window:
+                if len(held) > most:
                     # The last byte may yet turn out to end the word, so it counts as unread.
-                    room, used = len(held) - 1 - self.lookahead, 0
+                    room, used, stable = len(held) - 1 - self.lookahead, 0, []
                     for x in self._merge([self.plain[b] for b in held]):
                         if used + self.width[x] > room:
                             break
                         used += self.width[x]
-                        yield x
+                        stable.append(x)
+                    yield stable
                     held = held[used:]
         if held:  # the word has ended, so all of it is stable
             ids = [self.plain[b] for b in held]
             ids[-1] = self.final[held[-1]]
-            yield from self._merge(ids)
+            yield self._merge(ids)
 
 
 class Codec:
@@ -188,7 +192,7 @@ class Codec:
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self._symbols = byte_of_symbol()
         self._plain = _plain_pattern(spec)
-        self.words = _Table(lambda word: _packed(list(self.transducer.stream([word]))))
+        self.words = _Table(lambda word: self._word(word.encode()))
         self.chunks = _Table(self._chunk)
 
     def split_words(self, text: str) -> list[bytes | int]:
@@ -204,8 +208,28 @@ class Codec:
                 out += [bytes(map(self._symbols.__getitem__, w)) for w, _ in words]
         return out
 
+    def _word(self, word: bytes) -> bytes:
+        return b"".join(map(_packed, self.transducer.stream([word])))
+
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([_packed([w]) if isinstance(w, int) else self.words[w] for w in self.split_words(chunk)])
+        return b"".join([_packed([w]) if isinstance(w, int) else self._word(w) for w in self.split_words(chunk)])
+
+    def _portion(self, part: str) -> bytes:
+        """Ids of text that ends at a blank; stretches of plain characters are split into words at once."""
+        if self._added and self._added.search(part):
+            return b"".join(map(self.chunks.__getitem__, part.replace("\n", " ").split(" ")))
+        out, at = [], 0
+        while at < len(part):
+            end = _PLAIN_TEXT.match(part, at).end()
+            if end < len(part):  # back to where the word with another character begins
+                end = max(at, part.rfind(" ", at, end) + 1, part.rfind("\n", at, end) + 1)
+            out += map(self.words.__getitem__, self._plain.findall(part[at:end].lower()))
+            if end < len(part):
+                other = _CHUNK.match(part, end)
+                out.append(self.chunks[other[0]])
+                end = other.end()
+            at = end
+        return b"".join(out)
 
     def portions(self, text: str | None, size: int = PORTION) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers, a portion of the text at a time.
@@ -215,7 +239,7 @@ class Codec:
         at, text = 0, text or ""
         while at < len(text):
             end = text.find(" ", at + size) + 1 or len(text)
-            yield b"".join(map(self.chunks.__getitem__, text[at:end].replace("\n", " ").split(" ")))
+            yield self._portion(text[at:end])
             at = end
 
     def encode(self, text: str | None) -> bytes:
@@ -252,6 +276,8 @@ class Codec:
 
 #: Characters that no Unicode version normalizes or lower-cases in another way, without white space.
 _PLAIN = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]*\\Z")
+_PLAIN_TEXT = re.compile("[\n -~\u00a1-\u012f\u0131-\u024f]*")
+_CHUNK = re.compile("[^\n ]*")
 
 
 def _plain_pattern(spec: dict):
