@@ -17,9 +17,11 @@ import heapq
 import json
 import re
 import sys
-from array import array
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from tokenizers import Tokenizer
 from .workers import claim, trim
 
 #: Words kept with their ids in one Python worker, twice over. Results don't depend on it.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 220_000
 #: Bytes of output gathered before a batch goes back to Spark.
 BATCH_BYTES = 4_000_000
 #: Characters of a text that are encoded and decoded at once, up to the blank that follows.
@@ -56,11 +58,9 @@ class _Table(dict):
         return value
 
 
-def _packed(ids: list[int]) -> bytes:
-    packed = array("I", ids)
-    if sys.byteorder == "big":
-        packed.byteswap()
-    return packed.tobytes()
+def _packed(ids: str) -> bytes:
+    """Ids, held as characters, as little-endian unsigned 32-bit integers."""
+    return ids.encode("utf-32-le", "surrogatepass")
 
 
 #: Byte-level symbols: the printable Latin-1 characters stand for themselves, the other bytes for U+0100 on.
@@ -74,24 +74,28 @@ class MergeTransducer:
     """Encodes words, given as bytes, with a merge list over byte-level symbols.
 
     With a suffix, the last byte of a word is a symbol of its own (character plus suffix).
+    Ids are held as characters of that code point, so a word is a string, a pair of two
+    characters is a rule's name, and UTF-32 is the list of its ids.
     """
 
     def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], suffix: str = ""):
+        if max(vocab.values(), default=0) > sys.maxunicode:
+            raise ValueError("ids must be code points")
         self.suffix = suffix
         symbols = byte_of_symbol()
-        self.plain, self.final = [0] * 256, [0] * 256
+        self.plain, self.final = [""] * 256, [""] * 256
         for c, b in symbols.items():
-            self.plain[b], self.final[b] = vocab[c], vocab[c + suffix]
-        width = {i: len(s) - (len(suffix) if suffix and s.endswith(suffix) and len(s) > len(suffix) else 0) for s, i in vocab.items()}
+            self.plain[b], self.final[b] = chr(vocab[c]), chr(vocab[c + suffix])
+        width = {chr(i): len(s) - (len(suffix) if suffix and s.endswith(suffix) and len(s) > len(suffix) else 0) for s, i in vocab.items()}
         self.width = width
-        self.rank: dict[int, int] = {}  # pair, packed in one integer -> rank of its rule
-        self.made: list[int] = []  # rank -> symbol made
-        left: dict[int, int] = {}
+        self.rank: dict[str, int] = {}  # pair -> rank of its rule
+        self.made: list[str] = []  # rank -> symbol made
+        left: dict[str, str] = {}
         self.proper, reach, self.lookahead = True, {}, 0
-        used: set[int] = set()
+        used: set[str] = set()
         for rank, (a, b) in enumerate(merges):
-            ia, ib, ic = vocab[a], vocab[b], vocab[a + b]
-            self.rank[ia << 32 | ib] = rank
+            ia, ib, ic = chr(vocab[a]), chr(vocab[b]), chr(vocab[a + b])
+            self.rank[ia + ib] = rank
             self.made.append(ic)
             self.proper &= ic not in used
             used |= {ia, ib}
@@ -106,43 +110,50 @@ class MergeTransducer:
             self.lookahead = max(self.lookahead, reach[ia])
         self.window = 2 * self.lookahead + max(width.values(), default=1) + 1
 
-    def _merge(self, ids: list[int]) -> list[int]:
-        if len(ids) > 64:
-            return self._merge_long(ids)
-        rank, made, none = self.rank.get, self.made, 1 << 60
-        ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) != none:
+    def merge(self, word: str) -> str:
+        """All rules applied, the one of least rank first and from left to right."""
+        if len(word) > 64:
+            return self._merge_long(list(word))
+        rank, made, none = self.rank.get, self.made, len(self.made)
+        symbols, ranks = list(word), list(map(rank, map(add, word, word[1:]), repeat(none)))
+        while ranks and (best := min(ranks)) < none:
             at = ranks.index(best)
-            ids[at] = new = made[best]
-            del ids[at + 1], ranks[at]
+            symbols[at] = new = made[best]
+            del symbols[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = rank(ids[at - 1] << 32 | new, none)
+                ranks[at - 1] = rank(symbols[at - 1] + new, none)
             if at < len(ranks):
-                ranks[at] = rank(new << 32 | ids[at + 1], none)
-        return ids
+                ranks[at] = rank(new + symbols[at + 1], none)
+        return "".join(symbols)
 
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap over a linked list."""
-        rank, n = self.rank.get, len(ids)
+    def _merge_long(self, word: list[str]) -> str:
+        """The same, and for any list, with a heap over a linked list."""
+        rank, n = self.rank.get, len(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank(a << 32 | b)) is not None]
+        heap = [(r, i) for i, (a, b) in enumerate(zip(word, word[1:])) if (r := rank(a + b)) is not None]
         heapq.heapify(heap)
         gone = bytearray(n)
         while heap:
             r, i = heapq.heappop(heap)
-            if gone[i] or (j := after[i]) >= n or rank(ids[i] << 32 | ids[j]) != r:
+            if gone[i] or (j := after[i]) >= n or rank(word[i] + word[j]) != r:
                 continue
-            ids[i], gone[j], k = self.made[r], 1, after[j]
+            word[i], gone[j], k = self.made[r], 1, after[j]
             after[i] = k
             if k < n:
                 before[k] = i
-                if (q := rank(ids[i] << 32 | ids[k])) is not None:
+                if (q := rank(word[i] + word[k])) is not None:
                     heapq.heappush(heap, (q, i))
-            if (h := before[i]) >= 0 and (q := rank(ids[h] << 32 | ids[i])) is not None:
+            if (h := before[i]) >= 0 and (q := rank(word[h] + word[i])) is not None:
                 heapq.heappush(heap, (q, h))
-        return [x for x, dead in zip(ids, gone) if not dead]
+        return "".join([x for x, dead in zip(word, gone) if not dead])
 
-    def stream(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
+    def symbols(self, word: bytes, ended: bool) -> str:
+        plain = self.plain
+        if not ended:
+            return "".join([plain[b] for b in word])
+        return "".join([plain[b] for b in word[:-1]]) + self.final[word[-1]]
+
+    def stream(self, parts: Iterable[bytes]) -> Iterator[str]:
         """Ids of one word that arrives in parts, as they are stable; keeps a window of it, whatever its length."""
         if not self.proper:
             parts = [b"".join(parts)]
@@ -155,18 +166,14 @@ class MergeTransducer:
                 held += part[at : at + self.window]
                 if len(held) > most:
                     # The last byte may yet turn out to end the word, so it counts as unread.
-                    room, used, stable = len(held) - 1 - self.lookahead, 0, []
-                    for x in self._merge([self.plain[b] for b in held]):
-                        if used + self.width[x] > room:
-                            break
-                        used += self.width[x]
-                        stable.append(x)
-                    yield stable
+                    room, used, stable, merged = len(held) - 1 - self.lookahead, 0, 0, self.merge(self.symbols(held, False))
+                    while used + self.width[merged[stable]] <= room:
+                        used += self.width[merged[stable]]
+                        stable += 1
+                    yield merged[:stable]
                     held = held[used:]
         if held:  # the word has ended, so all of it is stable
-            ids = [self.plain[b] for b in held]
-            ids[-1] = self.final[held[-1]]
-            yield self._merge(ids)
+            yield self.merge(self.symbols(held, True))
 
 
 class Codec:
@@ -209,10 +216,10 @@ class Codec:
         return out
 
     def _word(self, word: bytes) -> bytes:
-        return b"".join(map(_packed, self.transducer.stream([word])))
+        return _packed("".join(self.transducer.stream([word])))
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([_packed([w]) if isinstance(w, int) else self._word(w) for w in self.split_words(chunk)])
+        return b"".join([_packed(chr(w)) if isinstance(w, int) else self._word(w) for w in self.split_words(chunk)])
 
     def _portion(self, part: str) -> bytes:
         """Ids of text that ends at a blank; stretches of plain characters are split into words at once."""
@@ -295,7 +302,19 @@ def _plain_pattern(spec: dict):
     )
     if not known or spec.get("decoder"):
         raise ValueError("a tokenizers file is needed that normalizes by NFC, white space and case, keeps the matches of a pattern as words, and has no decoder")
-    return regex.compile(split["pattern"]["Regex"])
+    return _spelt_out(split["pattern"]["Regex"])
+
+
+def _spelt_out(pattern: str):
+    """The pattern with the plain letters and numbers in place of their properties, which the
+    standard module finds faster; as it is if a property stands outside of brackets."""
+    plain = [chr(c) for c in (*range(0x20, 0x7F), *range(0xA1, 0x130), *range(0x131, 0x250))]
+    spelt = pattern
+    for kind in "LN":
+        spelt = spelt.replace(f"\\p{{{kind}}}", "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == kind))
+    if "\\p" in re.sub(r"\[[^\]]*\]", "", pattern) or "\\p" in spelt or "\\P" in spelt:
+        return regex.compile(pattern)
+    return re.compile(spelt)
 
 
 #: Whole characters of one or two bytes, which leave the state machine where it was.

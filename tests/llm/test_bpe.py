@@ -47,11 +47,19 @@ def test_long_words_stream(codec, library, letters, size):
 
 
 def test_stream_in_parts(codec):
+    transducer = codec.transducer
     word = "".join(random.Random(1).choices("thean", k=12_000)).encode()
-    whole = codec.transducer._merge([codec.transducer.plain[b] for b in word[:-1]] + [codec.transducer.final[word[-1]]])
+    whole = transducer.merge(transducer.symbols(word, True))
     for step in (1, 777, 5000):
-        found = list(codec.transducer.stream(word[i : i + step] for i in range(0, len(word), step)))
-        assert [x for ids in found for x in ids] == whole and max(map(len, found)) <= 2 * codec.transducer.window + 1
+        found = list(transducer.stream(word[i : i + step] for i in range(0, len(word), step)))
+        assert "".join(found) == whole and max(map(len, found)) <= 2 * transducer.window + 1
+
+
+def test_short_and_long_merging_agree(codec):
+    rng = random.Random(2)
+    for _ in range(2000):
+        word = codec.transducer.symbols("".join(rng.choices("theanisr'é", k=rng.randint(1, 30))).encode(), True)
+        assert codec.transducer.merge(word) == codec.transducer._merge_long(list(word))
 
 
 def test_added_tokens(codec, library):
