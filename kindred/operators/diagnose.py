@@ -196,16 +196,30 @@ def recovery_combinations(recovered: DataFrame) -> DataFrame:
 def family_volume(references: DataFrame, pool: DataFrame, families: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
     """Per family: pool records that share a key with a reference, in all, on average, at most, and references without any.
 
-    A pool record that shares two keys with a reference counts once for it.
+    A pool record that shares two keys with a reference counts once for it. Keys of all
+    families are made in one pass over either side, and counted by key before they are
+    joined; only a family of several keys a record needs its pairs, to count them once.
     """
-    out = None
-    for name, make in (families or K.FAMILIES).items():
-        left = references.select(F.col("entity_id").alias("ref_id"), F.explode(make()).alias("key"))
-        right = pool.select(F.col("source").alias("s"), F.col("entity_id").alias("c"), F.explode(make()).alias("key"))
-        sizes = right.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        many = name == "addr_nocountry"
-        counts = left.join(right, "key").select("ref_id", "s", "c").distinct().groupBy("ref_id").agg(F.count(F.lit(1)).alias("n")) if many else left.join(sizes, "key").groupBy("ref_id").agg(F.sum("n").alias("n"))
-        all_refs = references.select(F.col("entity_id").alias("ref_id")).join(counts, "ref_id", "left").select(F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-        row = all_refs.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("largest"), F.count_if(F.col("n") == 0).alias("without")).select(F.lit(name).alias("family"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    made = families or K.FAMILIES
+    several = [name for name in made if name == "addr_nocountry"]
+
+    def keyed(side: DataFrame, ids: list[Column], names: list[str]) -> DataFrame:
+        none = F.array().cast("array<string>")
+        tag = lambda name: lambda k: F.struct(F.lit(name).alias("family"), k.alias("key"))
+        tagged = [F.transform(F.coalesce(made[n](), none), tag(n)) for n in names]
+        return side.select(*ids, F.explode(F.concat(*tagged)).alias("e")).select("*", "e.family", "e.key").drop("e")
+
+    ref, one = F.col("entity_id").alias("ref_id"), [n for n in made if n not in several]
+    counts = None
+    if one:
+        sizes = keyed(pool, [], one).groupBy("family", "key").agg(F.count(F.lit(1)).alias("n"))
+        counts = keyed(references, [ref], one).join(sizes, ["family", "key"]).groupBy("family", "ref_id").agg(F.sum("n").alias("n"))
+    if several:
+        met = keyed(references, [ref], several).join(keyed(pool, [F.col("source").alias("s"), F.col("entity_id").alias("c")], several), ["family", "key"])
+        pairs = met.select("family", "ref_id", "s", "c").distinct().groupBy("family", "ref_id").agg(F.count(F.lit(1)).alias("n"))
+        counts = pairs if counts is None else counts.unionByName(pairs)
+    every = references.select(ref, F.explode(F.array(*map(F.lit, made))).alias("family"))
+    every = every.join(counts, ["family", "ref_id"], "left").select("family", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    found = every.groupBy("family").agg(F.sum("n").alias("total"), F.avg("n").alias("mean"), F.max("n").alias("largest"), F.count_if(F.col("n") == 0).alias("without"))
+    named = references.sparkSession.createDataFrame([(n,) for n in made], "family string").join(found, "family", "left")
+    return named.select("family", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("largest", F.lit(0)).alias("largest"), F.coalesce("without", F.lit(0)).alias("without"))

@@ -37,14 +37,21 @@ def prepared(records: DataFrame) -> DataFrame:
 
 def _side(records: DataFrame, prefix: str, source: str, entity: str) -> DataFrame:
     columns = [F.col("source").alias(source), F.col("entity_id").alias(entity)]
-    return records.select(*columns, *(F.col(c).alias(f"{prefix}_{c}") for c in _SIDE))
+    return records.select(*columns, F.lit(True).alias(f"{prefix}_known"), *(F.col(c).alias(f"{prefix}_{c}") for c in _SIDE))
 
 
 def with_records(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Pairs with both records' columns as l_... and r_...; pairs of unknown records drop out."""
+    """Pairs with both records' columns as l_... and r_...; the run fails on a pair of an unknown record.
+
+    unknown_records lists such records beforehand.
+    """
     ready = prepared(records)
     left, right = _side(ready, "l", "ref_source", "ref_id"), _side(ready, "r", "cand_source", "cand_id")
-    return pairs.join(left, ["ref_source", "ref_id"]).join(right, ["cand_source", "cand_id"])
+    joined = pairs.join(left, ["ref_source", "ref_id"], "left").join(right, ["cand_source", "cand_id"], "left")
+    for prefix, entity in (("l", "ref_id"), ("r", "cand_id")):
+        missing = F.raise_error(F.concat(F.lit("a pair names a record that is not there: "), F.coalesce(F.col(entity), F.lit("null"))))
+        joined = joined.withColumn(f"{prefix}_name", F.when(F.col(f"{prefix}_known"), F.col(f"{prefix}_name")).otherwise(missing)).drop(f"{prefix}_known")
+    return joined
 
 
 def unknown_records(pairs: DataFrame, records: DataFrame) -> DataFrame:

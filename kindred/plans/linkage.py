@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import DEFAULT, BlockingConfig
 from ..functions.text import normalize_records
 from ..operators import blocking, features, matching, profiles
-from ..sources.sinks import Stages
+from ..sources.sinks import Stages, table_digest
 
 STAGES = ("dataset", "candidates", "features", "model", "report")
 
@@ -23,11 +23,14 @@ def labelled_features(records: DataFrame, edges: DataFrame, config: BlockingConf
 
 
 class Linkage:
-    """Staged run below a folder: each stage is Parquet with a manifest and is reused if it fits."""
+    """Staged run below a folder: each stage is Parquet with a manifest and is reused if it fits.
+
+    The manifest names the settings and a digest of the rows that went in, so other records
+    or another truth are worked on anew.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, config: BlockingConfig = DEFAULT, *, salt: str = "exp20k-split-v1", force: bool = False):
-        self.spark, self.config, self.salt = spark, config, salt
-        self.stages = Stages(spark, folder, {"blocking": asdict(config), "salt": salt}, force)
+        self.spark, self.folder, self.config, self.salt, self.force = spark, folder, config, salt, force
 
     def run(self, raw: DataFrame, truth: DataFrame, until: str = "report") -> dict[str, DataFrame]:
         """Stages up to until: raw records and truth in, a DataFrame for each stage out."""
@@ -42,8 +45,10 @@ class Linkage:
             "model": lambda: matching.run_arms(out["features"]),
             "report": lambda: self._report(out, edges),
         }
+        said = {"blocking": asdict(self.config), "salt": self.salt, "records": table_digest(raw), "truth": table_digest(truth)}
+        stages = Stages(self.spark, self.folder, said, self.force)
         for name in STAGES[: STAGES.index(until) + 1]:
-            out[name] = self.stages.run(name, steps[name])
+            out[name] = stages.run(name, steps[name])
         return out
 
     def _report(self, out: dict[str, DataFrame], edges: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,17 +41,34 @@ def fingerprint(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
+def table_digest(df: DataFrame) -> dict[str, str]:
+    """Columns, number of rows and sum of row hashes: the same for the same rows in any order."""
+    row = F.xxhash64(*df.columns).cast("decimal(38,0)")
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row).cast("string").alias("sum")).first()
+    return {"columns": df.schema.simpleString(), "rows": str(found["rows"]), "sum": found["sum"]}
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file on any of Spark's file systems: written beside its place, then renamed."""
+    """A small file on any of Spark's file systems: written beside its place, then renamed over it.
+
+    Where a file system has no rename that replaces, the old file is deleted just before.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs
     target, temporary = hadoop.Path(path), hadoop.Path(path + ".tmp")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(temporary, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(temporary, target):
-        raise OSError(f"{path} can't be put in place")
+    try:
+        options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        options[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(temporary, target, options)
+    except Py4JJavaError as e:
+        if "UnsupportedFileSystem" not in e.java_exception.toString():
+            raise
+        fs.delete(target, False)
+        if not fs.rename(temporary, target):
+            raise OSError(f"{path} can't be put in place") from e
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

@@ -61,11 +61,11 @@ def safe_extract(archive: str, target: str) -> list[str]:
         return z.namelist()
 
 
-def _read_tsv(spark: SparkSession, path: str, wanted: tuple[str, ...]) -> DataFrame | None:
+def _read_tsv(spark: SparkSession, path: str, wanted: tuple[str, ...], line_breaks: bool = True) -> DataFrame | None:
     """Columns by name, in any order; '' for what a short row or an empty field leaves out.
 
-    Quotes and line ends inside quotes are as in CSV, so a file is one task; convert large
-    sources to Parquet once.
+    Quotes and line ends inside quotes are as in CSV, so a file is one task. Without
+    line_breaks no field may hold a line end, and a large file is split over tasks.
     """
     header = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
     if not header:
@@ -75,18 +75,18 @@ def _read_tsv(spark: SparkSession, path: str, wanted: tuple[str, ...]) -> DataFr
         raise ValueError(f"{path} lacks {', '.join(missing)}")
     unique = [n if names.index(n) == i and n else f"_extra{i}" for i, n in enumerate(names)]
     schema = ", ".join(f"`{n}` string" for n in unique)
-    rows = spark.read.options(sep="\t", header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", mode="PERMISSIVE", enforceSchema=True, nullValue="\u0000").schema(schema).csv(path)
+    rows = spark.read.options(sep="\t", header=True, quote='"', escape='"', multiLine=line_breaks, encoding="UTF-8", mode="PERMISSIVE", enforceSchema=True, nullValue="\u0000").schema(schema).csv(path)
     last = F.regexp_replace(F.coalesce(F.col(unique[-1]), F.lit("")), "\r$", "")
     return rows.select(*((last if c == unique[-1] else F.coalesce(F.col(c), F.lit(""))).alias(c) for c in wanted))
 
 
-def read_source_tsv(spark: SparkSession, path: str, source: str) -> DataFrame:
+def read_source_tsv(spark: SparkSession, path: str, source: str, *, line_breaks: bool = True) -> DataFrame:
     """(source, entity_id, business_name, business_address, country, ord), ord the order in the file.
 
     Rows whose stripped id is blank are dropped; an empty file gives no rows; a missing
-    column is a ValueError.
+    column is a ValueError. line_breaks=False splits a large file, if no field holds a line end.
     """
-    rows = _read_tsv(spark, path, COLUMNS)
+    rows = _read_tsv(spark, path, COLUMNS, line_breaks)
     if rows is None:
         return spark.createDataFrame([], "source string, entity_id string, business_name string, business_address string, country string, ord long")
     return rows.select(F.lit(source).alias("source"), strip(F.col("entity_id")).alias("entity_id"), "business_name", "business_address", "country", F.monotonically_increasing_id().alias("ord")).where("entity_id <> ''")

@@ -259,6 +259,48 @@ def test_stages(spark, tmp_path):
     assert len(calls) == 3
 
 
+def test_other_input_is_worked_on_anew(spark, tmp_path, raw):
+    truth = spark.createDataFrame(TRUTH, "source1_entity_id string, matched_ids array<string>")
+    first = Linkage(spark, str(tmp_path)).run(raw, truth, until="dataset")["dataset"].count()
+    fewer = raw.where("entity_id <> 'S2-1'")
+    again = Linkage(spark, str(tmp_path)).run(fewer, truth, until="dataset")["dataset"]
+    assert again.count() == first - 1 and again.where("entity_id = 'S2-1'").count() == 0
+    shuffled = fewer.repartition(3, "business_name")
+    assert sinks.table_digest(shuffled) == sinks.table_digest(fewer) != sinks.table_digest(raw)
+    assert sinks.table_digest(raw.limit(0))["rows"] == "0"
+
+
+def test_text_replaces_text(spark, tmp_path):
+    for text in ("one", "two"):
+        sinks.write_text(spark, str(tmp_path / "t.txt"), text)
+        assert sinks.read_text(spark, str(tmp_path / "t.txt")) == text
+    assert not (tmp_path / "t.txt.tmp").exists()
+
+
+def test_pair_of_an_unknown_record_fails(spark, records):
+    pairs = blocking.candidates(records).select(*blocking.PAIR)
+    known = features.featurize(pairs, records).count()
+    fewer = records.where("entity_id <> 'S3-1'")
+    assert [r.entity_id for r in features.unknown_records(pairs, fewer).collect()] == ["S3-1"]
+    with pytest.raises(Exception, match="not there: S3-1"):
+        features.featurize(pairs, fewer).collect()
+    assert known == len(VECTORS)
+
+
+def test_tsv_without_line_breaks(spark, tmp_path):
+    lines = "".join(f"S2-{i}\tname {i}\t{i} road\tIN\n" for i in range(20_000))
+    (tmp_path / "s.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + lines)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "100000")
+        got = tables.read_source_tsv(spark, str(tmp_path / "s.tsv"), "S2", line_breaks=False)
+        assert got.rdd.getNumPartitions() > 1
+        assert [r.entity_id for r in got.orderBy("ord").collect()] == [f"S2-{i}" for i in range(20_000)]
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_run_until_features(spark, tmp_path, raw):
     truth = spark.createDataFrame(TRUTH, "source1_entity_id string, matched_ids array<string>")
     out = Linkage(spark, str(tmp_path)).run(raw, truth, until="features")
