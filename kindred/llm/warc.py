@@ -239,13 +239,16 @@ class _Lines:
         return out.removesuffix(b"\r")
 
     def take(self, n: int) -> bytes:
-        while len(self.held) - self.at < n:
+        parts, self.read_so_far = [], self.read_so_far + n
+        while True:
+            part = self.held[self.at : self.at + n]
+            self.at += len(part)
+            n -= len(part)
+            parts.append(part)
+            if not n:
+                return b"".join(parts)
             if not self._more():
                 raise ValueError("a WARC record ends early")
-        out = self.held[self.at : self.at + n]
-        self.at += n
-        self.read_so_far += n
-        return out
 
     def skip(self, n: int) -> None:
         self.read_so_far += n
