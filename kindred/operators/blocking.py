@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 
 PAIR = ["ref_source", "ref_id", "cand_source", "cand_id"]
+#: Caps up to this become group limits before the ranking shuffle (Spark's default threshold).
+GROUP_LIMIT = 1000
+#: Tasks that share a key under a greater cap.
+PARTS = 64
 
 
 def keyed(records: DataFrame, keys: Column | None = None, config: K.BlockingConfig = K.DEFAULT) -> DataFrame:
@@ -21,14 +25,23 @@ def build_index(records: DataFrame, config: K.BlockingConfig = K.DEFAULT, *, key
     Records arrive in order of (source, ord). per_source caps each source for itself.
     probing(key) keeps only keys that something will ask for; since the cap is for each key,
     dropping the others first changes nothing, and it is done before the ranking shuffle.
-    The rank filter becomes a group limit before that shuffle for caps up to 1000.
+    The rank filter becomes a group limit before that shuffle for caps up to GROUP_LIMIT;
+    under a greater cap a key is first ranked in PARTS parts, so no task sorts all of it.
     """
     rows = keyed(records, keys, config)
     if probing is not None:
         rows = rows.join(probing.select("key").distinct(), "key", "left_semi")
     group = ["key", "source"] if per_source else ["key"]
+    if config.max_group_size > GROUP_LIMIT:
+        parts = rows.withColumn("part", F.pmod(F.xxhash64("source", "entity_id"), F.lit(PARTS)))
+        rows = _first(parts, [*group, "part"], config.max_group_size).drop("part", "rn")
+    return _first(rows, group, config.max_group_size)
+
+
+def _first(rows: DataFrame, group: list[str], most: int) -> DataFrame:
+    """The first arrivals of each group, with their rank rn."""
     arrival = Window.partitionBy(*group).orderBy("source", "ord", "entity_id")
-    return rows.withColumn("rn", F.row_number().over(arrival)).where(F.col("rn") <= config.max_group_size)
+    return rows.withColumn("rn", F.row_number().over(arrival)).where(F.col("rn") <= most)
 
 
 def retrieve(probes: DataFrame, index: DataFrame) -> DataFrame:

@@ -96,6 +96,16 @@ def test_order_of_sources_and_partitions(spark, records):
         assert got == want
 
 
+def test_cap_over_the_group_limit(records, monkeypatch):
+    many = records.unionByName(records.withColumn("source", F.lit("S9")))
+    config = K.BlockingConfig(max_group_size=2)
+    index = lambda **how: sorted(map(tuple, blocking.build_index(many, config, **how).collect()))
+    want = index(), index(per_source=True)
+    monkeypatch.setattr(blocking, "GROUP_LIMIT", 1)
+    monkeypatch.setattr(blocking, "PARTS", 3)
+    assert (index(), index(per_source=True)) == want
+
+
 def test_self_pairs(records):
     index = blocking.build_index(records)
     pairs = blocking.generate_candidates(records, index)
