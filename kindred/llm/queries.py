@@ -69,14 +69,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headers of revisits alone: the reader's predicate is on the record type, and every payload is passed over."""
+def warc_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of records under https: the reader's predicates are on type and target, and every payload is passed over."""
     scratch = Scratch(spark)
     path = scratch.path("archive")
     warc.write_warc(table(spark, sf_dir, "pages"), path, scratch)
-    records = warc.read_warc(spark, path, payload=False, types=["revisit"])
+    records = warc.read_warc(spark, path, payload=False, types=["response", "revisit"], begins={"warc-target-uri": "https://"})
     return records.select(
         warc.page_of(F.col("record_id")).alias("page_id"),
+        "record_type",
         "payload_bytes",
         F.substring_index("payload_digest", ":", -1).alias("payload_digest"),
         warc.page_of(F.col("refers_to")).alias("refers_to"),
@@ -102,7 +103,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
-    "warc_revisits": warc_revisits,
+    "warc_headers": warc_headers,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
@@ -145,10 +146,12 @@ f AS (SELECT digest, min(page_id) AS first FROM x WHERE n >= 100 GROUP BY digest
 SELECT page_id, n AS payload_bytes, x.digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first THEN first END AS refers_to
 FROM x LEFT JOIN f ON x.digest = f.digest AND x.n >= 100""",
-    "warc_revisits": """
-WITH x AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest FROM pages WHERE strlen(html) >= 100),
-f AS (SELECT digest, min(page_id) AS first FROM x GROUP BY digest)
-SELECT page_id, n AS payload_bytes, digest AS payload_digest, first AS refers_to FROM x JOIN f USING (digest) WHERE page_id > first""",
+    "warc_headers": """
+WITH x AS (SELECT page_id, url, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM x WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, x.digest AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to
+FROM x LEFT JOIN f ON x.digest = f.digest AND x.n >= 100 WHERE starts_with(url, 'https://')""",
     "op2_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
