@@ -124,13 +124,14 @@ def script_class(name: Column) -> Column:
     )
 
 
-def normalize_records(df: DataFrame) -> DataFrame:
-    """(source, entity_id, ord, business_name, business_address, country) -> canonical records.
+def normalize_records(df: DataFrame, *keep: str) -> DataFrame:
+    """(source, entity_id, ord, business_name, business_address, country) -> canonical records, with the columns keep.
 
     One projection; the columns that pair features reuse are made here, once for each
     record, rather than for each pair.
     """
     first = df.select(
+        *keep,
         "source",
         "entity_id",
         "ord",
@@ -139,6 +140,7 @@ def normalize_records(df: DataFrame) -> DataFrame:
         normalize_text(F.col("business_address")).alias("raw_address"),
     )
     named = first.select(
+        *keep,
         "source",
         "entity_id",
         "ord",
@@ -150,6 +152,7 @@ def normalize_records(df: DataFrame) -> DataFrame:
     )
     split = named.withColumns({"name_core": core_tokens(F.col("name")), "address_tokens": tokens(F.col("address"))})
     return split.select(
+        *keep,
         "source",
         "entity_id",
         "ord",

@@ -44,11 +44,15 @@ def missed_pairs(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return edges.select("ref_id", "cand_id").distinct().join(pairs.select("ref_id", "cand_id").distinct(), ["ref_id", "cand_id"], "left_anti")
 
 
-def _described(records: DataFrame, config: K.BlockingConfig) -> DataFrame:
+def prefixes() -> Column:
+    return F.slice(F.transform(F.sort_array("name_core"), lambda t: F.substring(t, 1, 4)), 1, 2)
+
+
+def described(records: DataFrame, config: K.BlockingConfig, *more: str) -> DataFrame:
+    """What the flags need of a record, and the columns more."""
     words = F.array_distinct(F.transform("address_alpha_tokens", lambda w: F.substring(w, 1, config.address_prefix)))
-    prefixes = F.transform(F.sort_array("name_core"), lambda t: F.substring(t, 1, 4))
     return records.select(
-        "entity_id",
+        *more,
         *_RECORD,
         K.name_key(config).alias("name_key"),
         K.address_keys(config).alias("address_keys"),
@@ -56,8 +60,10 @@ def _described(records: DataFrame, config: K.BlockingConfig) -> DataFrame:
         K.addresses_without_country().alias("free_keys"),
         K.name_without_country().alias("free_name"),
         words.alias("street"),
-        F.slice(prefixes, 1, 2).alias("prefixes"),
+        prefixes().alias("prefixes"),
         script_class(F.col("name")).alias("script"),
+        (F.size(K.address_keys(config)) == 0).alias("no_keys"),
+        F.col("house_number").isNull().alias("no_house"),
     )
 
 
@@ -69,35 +75,26 @@ def _no(c: Column) -> Column:
     return ~F.coalesce(c, F.lit(False))
 
 
-def flagged(missed: DataFrame, records: DataFrame, config: K.BlockingConfig = K.DEFAULT, *, pool: DataFrame | None = None) -> DataFrame:
-    """missed pairs with 19 flags, their shared keys, and one category each.
+def flag_columns(a: Callable[[str], Column], b: Callable[[str], Column], *, address: Column, free: Column, house: Column, street: Column, shared: Column, capped: Column, similarity: Column) -> dict[str, Column]:
+    """The flags of a pair from its sides' columns and from what their addresses and keys have in common.
 
-    Flags overlap; the category is the first that fits, in a fixed order. A pair with a
-    record that records lacks has no flag and the category 'record unavailable'. pool is
-    what was indexed (all but S1 by default); its over-full keys are the capped ones.
+    address and free: whether keys of the address are shared, with and without country;
+    house: whether two numbers differ; street: whether two sets of words have none in common;
+    shared and capped: whether a key is shared, and one that was over-full.
     """
-    pool = records.where("source <> 'S1'") if pool is None else pool
-    d = _described(records, config)
-    both = missed.join(_sided(d, "a"), F.col("ref_id") == F.col("a_entity_id"), "left").join(_sided(d, "b"), F.col("cand_id") == F.col("b_entity_id"), "left")
-    full = capped_keys(pool, config).select("key")
-    asked = both.select("ref_id", "cand_id", F.explode(F.array_intersect("a_keys", "b_keys")).alias("key"))
-    capped = asked.join(full, "key").groupBy("ref_id", "cand_id").agg(F.lit(True).alias("capped"))
-    both = both.join(capped, ["ref_id", "cand_id"], "left")
-    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    size = lambda c: F.size(c)
     either = lambda test: test(a) | test(b)
-    core_a, core_b = size(a("name_core")), size(b("name_core"))
+    core_a, core_b = F.size(a("name_core")), F.size(b("name_core"))
     shorter = F.least(core_a, core_b, F.lit(2))
     same_start = F.slice(a("prefixes"), 1, shorter) == F.slice(b("prefixes"), 1, shorter)
     latin = lambda s: s("script").isin("latin", "latin+marks")
     named = (a("name") != "") & (b("name") != "")
     name_differs = _no(a("name_key") == b("name_key"))
-    no_key = either(lambda s: size(s("address_keys")) == 0)
-    addr_differs = ~no_key & ~F.arrays_overlap(a("address_keys"), b("address_keys"))
-    house = a("house_number").isNotNull() & b("house_number").isNotNull()
+    no_key = either(lambda s: s("no_keys"))
+    addr_differs = ~no_key & ~address
+    both_houses = ~a("no_house") & ~b("no_house")
     countries = a("country") != b("country")
-    meet_without = F.coalesce(a("free_name") == b("free_name"), F.lit(False)) | F.arrays_overlap(a("free_keys"), b("free_keys"))
-    made = {
+    meet_without = F.coalesce(a("free_name") == b("free_name"), F.lit(False)) | free
+    return {
         "name_missing_either": either(lambda s: s("name_is_missing")),
         "name_no_core_token_either": (core_a == 0) | (core_b == 0),
         "name_key_differs": name_differs,
@@ -105,26 +102,55 @@ def flagged(missed: DataFrame, records: DataFrame, config: K.BlockingConfig = K.
         "name_core_count_differs": core_a != core_b,
         "name_prefix4_differs": (core_a > 0) & (core_b > 0) & ~same_start,
         "script_differs": named & (latin(a) != latin(b)),
-        "latin_both_low_similarity": named & (a("script") == "latin") & (b("script") == "latin") & (strict_bigram_jaccard(a("name"), b("name")) < LOW_SIMILARITY),
+        "latin_both_low_similarity": named & (a("script") == "latin") & (b("script") == "latin") & (similarity < LOW_SIMILARITY),
         "addr_missing_either": either(lambda s: s("address_is_missing")),
         "addr_no_key_either": no_key,
         "addr_key_differs": addr_differs,
-        "house_absent_either": ~house,
-        "house_differs": house & (a("house_number") != b("house_number")),
-        "street_prefix_differs": (a("address") != "") & (b("address") != "") & (size(a("street")) > 0) & (size(b("street")) > 0) & ~F.arrays_overlap(a("street"), b("street")),
+        "house_absent_either": ~both_houses,
+        "house_differs": both_houses & house,
+        "street_prefix_differs": street,
         "country_disagrees": countries,
         "country_only_blocker": countries & meet_without,
         "both_name_and_addr_weak": name_differs & addr_differs,
-        "SHARED_KEY_BUT_MISSED": F.arrays_overlap(a("keys"), b("keys")),
-        "shared_key_was_capped": F.col("capped"),
+        "SHARED_KEY_BUT_MISSED": shared,
+        "shared_key_was_capped": capped,
     }
+
+
+def flagged(missed: DataFrame, records: DataFrame, config: K.BlockingConfig = K.DEFAULT, *, pool: DataFrame | None = None) -> DataFrame:
+    """missed pairs with 19 flags, their shared keys, and one category each.
+
+    Flags overlap; the category is the first that fits, in a fixed order. A pair with a
+    record that records lacks has no flag and the category 'record unavailable'. pool is
+    what was indexed (all but S1 by default); its over-full keys are the capped ones.
+    """
+    pool = records.where("source <> 'S1'") if pool is None else pool
+    d = described(records, config, "entity_id")
+    both = missed.join(_sided(d, "a"), F.col("ref_id") == F.col("a_entity_id"), "left").join(_sided(d, "b"), F.col("cand_id") == F.col("b_entity_id"), "left")
+    full = capped_keys(pool, config).select("key")
+    asked = both.select("ref_id", "cand_id", F.explode(F.array_intersect("a_keys", "b_keys")).alias("key"))
+    capped = asked.join(full, "key").groupBy("ref_id", "cand_id").agg(F.lit(True).alias("capped"))
+    both = both.join(capped, ["ref_id", "cand_id"], "left")
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    street = (F.size(a("street")) > 0) & (F.size(b("street")) > 0) & ~F.arrays_overlap(a("street"), b("street"))
+    made = flag_columns(
+        a,
+        b,
+        address=F.arrays_overlap(a("address_keys"), b("address_keys")),
+        free=F.arrays_overlap(a("free_keys"), b("free_keys")),
+        house=a("house_number") != b("house_number"),
+        street=(a("address") != "") & (b("address") != "") & street,
+        shared=F.arrays_overlap(a("keys"), b("keys")),
+        capped=F.col("capped"),
+        similarity=strict_bigram_jaccard(a("name"), b("name")),
+    )
     here = a("entity_id").isNotNull() & b("entity_id").isNotNull()
     out = both.select("ref_id", "cand_id", here.alias("available"), F.array_intersect("a_keys", "b_keys").alias("shared_keys"), *((here & F.coalesce(made[n], F.lit(False))).alias(n) for n in FLAGS))
-    return out.withColumn("category", _category(config))
+    return out.withColumn("category", category(config))
 
 
-def _category(config: K.BlockingConfig) -> Column:
-    c = F.col
+def category(config: K.BlockingConfig, c: Callable[[str], Column] = F.col) -> Column:
+    """The first category that fits, from the flags and available."""
     unusable = c("name_missing_either") | c("name_no_core_token_either")
     name, address = c("name_key_differs"), c("addr_key_differs")
     tests = {
@@ -161,7 +187,11 @@ def examples(flags: DataFrame, k: int = EXAMPLES) -> DataFrame:
 
 def capped_key_report(flags: DataFrame, pool: DataFrame, config: K.BlockingConfig = K.DEFAULT, k: int = 12) -> DataFrame:
     """The k keys that missed pairs share most: how many share them, records that wanted the key, whether it was capped."""
-    shared = flags.select(F.explode("shared_keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("missed"))
+    return key_report(flags.select(F.explode("shared_keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("missed")), pool, config, k)
+
+
+def key_report(shared: DataFrame, pool: DataFrame, config: K.BlockingConfig = K.DEFAULT, k: int = 12) -> DataFrame:
+    """capped_key_report from the counts (key, missed)."""
     sizes = keyed(pool, None, config).join(shared.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("bucket"))
     return shared.join(sizes, "key", "left").select("key", "missed", F.coalesce("bucket", F.lit(0)).alias("bucket"), (F.coalesce("bucket", F.lit(0)) > config.max_group_size).alias("was_capped")).orderBy(F.desc("missed"), "key").limit(k)
 
@@ -176,9 +206,13 @@ def recovery(missed: DataFrame, records: DataFrame, families: dict[str, Callable
 
 
 def recovery_counts(recovered: DataFrame) -> DataFrame:
-    """(family, n): distinct missed pairs that a family reaches, and 'any' for all families together."""
-    rows = recovered.select(F.explode(F.concat("hits", F.when(F.size("hits") > 0, F.array(F.lit("any"))).otherwise(F.array().cast("array<string>")))).alias("family"))
-    return rows.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    """(family, n): distinct missed pairs that a family reaches, and 'any' for all families together.
+
+    A row of recovered with a column n stands for n pairs.
+    """
+    n = F.sum("n") if "n" in recovered.columns else F.count(F.lit(1))
+    families = F.concat("hits", F.when(F.size("hits") > 0, F.array(F.lit("any"))).otherwise(F.array().cast("array<string>")))
+    return recovered.withColumn("family", F.explode(families)).groupBy("family").agg(n.alias("n"))
 
 
 def ranked_families(counts: DataFrame) -> DataFrame:
@@ -188,9 +222,9 @@ def ranked_families(counts: DataFrame) -> DataFrame:
 
 
 def recovery_combinations(recovered: DataFrame) -> DataFrame:
-    """(combination, n): families that reach a pair together, NONE for pairs out of reach of all."""
+    """(combination, n): families that reach a pair together, NONE for pairs out of reach of all; n as in recovery_counts."""
     named = F.when(F.size("hits") > 0, F.array_join("hits", "+")).otherwise("NONE")
-    return recovered.groupBy(named.alias("combination")).agg(F.count(F.lit(1)).alias("n"))
+    return recovered.groupBy(named.alias("combination")).agg((F.sum("n") if "n" in recovered.columns else F.count(F.lit(1))).alias("n"))
 
 
 def family_volume(references: DataFrame, pool: DataFrame, families: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
