@@ -124,6 +124,12 @@ def script_class(name: Column) -> Column:
     )
 
 
+def with_words(records: DataFrame) -> DataFrame:
+    """The columns of canonical records that follow from name and address."""
+    rows = records.withColumns({"name_core": core_tokens(F.col("name")), "address_tokens": tokens(F.col("address")), "name_is_missing": F.col("name") == "", "address_is_missing": F.col("address") == ""})
+    return rows.withColumn("address_alpha_tokens", alpha_tokens(F.col("address_tokens")))
+
+
 def normalize_records(df: DataFrame, *keep: str) -> DataFrame:
     """(source, entity_id, ord, business_name, business_address, country) -> canonical records, with the columns keep.
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import keys as K
 from ..functions import similarity as S
+from ..functions import text as T
+from ..sources.storage import Scratch
+from . import blocking
 
 # The features' order is part of a trained model.
 FEATURE_NAMES = (
@@ -16,6 +20,8 @@ FEATURE_NAMES = (
     "house_number_equal", "house_number_conflict", "country_equal", "country_present_either",
     "name_present_both", "address_present_both", "name_core_present_either", "address_alpha_present_either",
 )
+#: References of a key that meet its candidates in one part.
+MEET = 128
 RATIOS = {"name_char_ratio": "name", "address_char_ratio": "address"}
 _SIDE = ("country", "name", "name_core", "address", "address_tokens", "house_number", "core_set", "core_sorted", "prefixes", "token_set", "alpha_set", "name_bigrams", "address_bigrams")
 
@@ -35,8 +41,8 @@ def prepared(records: DataFrame) -> DataFrame:
     )
 
 
-def _side(records: DataFrame, prefix: str, source: str, entity: str) -> DataFrame:
-    columns = [F.col("source").alias(source), F.col("entity_id").alias(entity)]
+def _side(records: DataFrame, prefix: str, source: str, entity: str, *more: str) -> DataFrame:
+    columns = [*more, F.col("source").alias(source), F.col("entity_id").alias(entity)]
     return records.select(*columns, F.lit(True).alias(f"{prefix}_known"), *(F.col(c).alias(f"{prefix}_{c}") for c in _SIDE))
 
 
@@ -54,6 +60,43 @@ def with_records(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return joined
 
 
+def candidates_with_records(records: DataFrame, config: K.BlockingConfig = K.DEFAULT, *, arms: bool = False, references: DataFrame | None = None) -> DataFrame:
+    """blocking.candidates, or with arms blocking.two_arms, with both records' columns as with_records gives them.
+
+    Pairs are made where their records meet under a key, and are never shuffled: a pair of
+    several keys comes from the first that it was found by. references(ref_id, ...) adds columns of
+    its own to all pairs of a reference. records are written to a scratch table; ids are unique.
+    """
+    spark = records.sparkSession
+    stored, _ = Scratch(spark).put(records.select("source", "entity_id", "ord", "country", "name", "address", "house_number"), "records")
+    stored = T.with_words(stored)
+    refs, pool = stored.where("source = 'S1'"), stored.where("source <> 'S1'")
+    made = {"production": K.blocking_keys(config)} | ({"added": F.array_compact(F.array(K.a2_key(config.name_prefix)))} if arms else {})
+    index = None
+    for keys in made.values():
+        found = blocking.build_index(pool, config, keys=keys, probing=blocking.keyed(refs, keys, config)).select("source", "entity_id", "key")
+        index = found if index is None else index.unionByName(found)
+    kept = index.groupBy("source", "entity_id").agg(F.collect_list("key").alias("kept"))
+    base = ["country", "name", "name_core", "address", "address_tokens", "address_alpha_tokens", "house_number"]
+    left = refs.select("source", "entity_id", *base, made["production"].alias("production"), F.concat(*made.values()).alias("keys"))
+    more = []
+    if references is not None:
+        more = [c for c in references.columns if c != "ref_id"]
+        left = left.join(references.withColumnRenamed("ref_id", "entity_id"), "entity_id", "left")
+    left, right = left.withColumn("key", F.explode("keys")), pool.select("source", "entity_id", *base).join(kept, ["source", "entity_id"]).withColumn("key", F.explode("kept"))
+    parts = blocking.keyed(refs, F.concat(*made.values()), config).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts")).where("parts > 1")
+    share = F.coalesce("parts", F.lit(1))
+    left = left.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("entity_id"), share)).drop("parts")
+    right = right.join(parts, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), share - 1))).drop("parts")
+    # what pairs need of a record is made after the rows are dealt out, so it is not shuffled
+    left, right = (prepared(side.repartition("key", "part")) for side in (left, right))
+    left = _side(left, "l", "ref_source", "ref_id", "key", "part", "keys", "production", *more)
+    joined = left.join(_side(right, "r", "cand_source", "cand_id", "key", "part", "kept"), ["key", "part"]).where(F.array_intersect("keys", "kept")[0] == F.col("key"))
+    if arms:
+        joined = joined.withColumn("is_prod", F.arrays_overlap("production", "kept"))
+    return joined.drop("key", "part", "keys", "kept", "production", "l_known", "r_known")
+
+
 def unknown_records(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """(source, entity_id) that pairs name and records lack."""
     named = pairs.select(F.col("ref_source").alias("source"), F.col("ref_id").alias("entity_id")).union(pairs.select("cand_source", "cand_id"))
@@ -110,7 +153,11 @@ def featurize(pairs: DataFrame, records: DataFrame) -> DataFrame:
     The character ratios are computed in Python, in one pass over the joined pairs: equal
     strings and gated pairs never get there.
     """
-    joined = with_records(pairs, records)
+    return vectors(with_records(pairs, records), pairs.columns)
+
+
+def vectors(joined: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns keep of pairs with their records, and the 24 features."""
     made = _native()
     for name, column in RATIOS.items():
         a, b = F.col(f"l_{column}"), F.col(f"r_{column}")
@@ -118,7 +165,7 @@ def featurize(pairs: DataFrame, records: DataFrame) -> DataFrame:
         differ = present & (a != b)
         ratio = S.ratio_udf(F.when(differ, a), F.when(differ, b))
         made[name] = F.coalesce(F.when(present & (a == b), F.lit(1.0)), ratio, F.lit(0.0))
-    return joined.select(*pairs.columns, *(made[n].alias(n) for n in FEATURE_NAMES))
+    return joined.select(*keep, *(made[n].alias(n) for n in FEATURE_NAMES))
 
 
 def vector() -> Column:
