@@ -17,9 +17,11 @@ STAGES = ("dataset", "candidates", "features", "model", "report")
 
 def labelled_features(records: DataFrame, edges: DataFrame, config: BlockingConfig = DEFAULT, *, salt: str = "exp20k-split-v1") -> DataFrame:
     """Both arms' pairs with label, side of the split, is_prod and the 24 features, computed once."""
-    arms = blocking.two_arms(records, config)
-    rows = matching.split_by_reference(matching.label_candidates(arms, edges), salt=salt)
-    return features.featurize(rows, records)
+    sides = matching.split_by_reference(records.where("source = 'S1'").select(F.col("entity_id").alias("ref_id")), salt=salt)
+    sides = sides.join(edges.groupBy("ref_id").agg(F.collect_set("cand_id").alias("true_ids")), "ref_id", "left")
+    rows = features.candidates_with_records(records, config, arms=True, references=sides)
+    rows = rows.withColumn("label", F.coalesce(F.array_contains("true_ids", F.col("cand_id")), F.lit(False)).cast("int"))
+    return features.vectors(rows, [*blocking.PAIR, "is_prod", "label", "is_validation"])
 
 
 class Linkage:

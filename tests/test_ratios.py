@@ -37,7 +37,7 @@ def test_pairs_are_not_shuffled(spark, tmp_path):
     """Pairs are made once each; no aggregate by pair makes them distinct afterwards."""
     rows = [(i, f"Alpha Beta Gamma Limited of the northern harbour 1 Long Street {i % 9}", "en", "web", 70) for i in range(60)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("pair_features_full",):
+    for name in ("pair_features_full", "linkage_features"):
         df = catalog.QUERIES[name](spark, str(tmp_path))
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "Join" in plan and "keys=[ref_source" not in plan
