@@ -28,10 +28,12 @@ UNDETERMINED = "und"
 MOST_WORDS = 40_000
 #: Languages that may be learnt; a table with more labels than this is refused, not cut.
 MOST_LANGUAGES = 5_000
-#: Labelled rows that a least score is fitted on, the share of them that may lie under the
-#: score it starts from, the part of that score that is asked for, and the number of
-#: labelled rows at which half of it is trusted.
-SAMPLE, BELOW, PART, TRUST = 50_000, 0.01, 0.6, 20
+#: Share of labelled rows that may lie under the score that a least score starts from, the
+#: part of that score that is asked for, and the number of labelled rows at which half of
+#: it is trusted.
+BELOW, PART, TRUST = 0.01, 0.6, 20
+#: Steps in which scores from 0 to 1 are counted.
+STEPS = 100_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _LETTERS = regex.compile(r"\p{L}+")
 
@@ -164,23 +166,29 @@ def identify(docs: DataFrame, profiles: Profiles, *, key: str = "doc_id", text:
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double")
 
 
-def least_score(docs: DataFrame, profiles: Profiles, *, sample: int = SAMPLE, below: float = BELOW, part: float = PART, text: str = "text", lang: str = "lang") -> float:
+def least_score(docs: DataFrame, profiles: Profiles, *, below: float = BELOW, part: float = PART, text: str = "text", lang: str = "lang") -> float:
     """Score under which a text is in none of the profiles' languages.
 
-    Fitted on labelled rows: part of the score that all but a share of below of them reach.
-    Of more than sample such rows those of least hash, about sample, are scored. Profiles
-    learnt from few rows know those rows by heart, so with n rows it is lowered by n / (n +
-    TRUST). 0 without labelled rows.
+    Fitted on all labelled rows: part of the score that all but a share of below of those
+    with a letter reach, rounded down to 1 / STEPS. Profiles learnt from few rows know those
+    rows by heart, so with n rows it is lowered by n / (n + TRUST). 0 without labelled rows.
+    Only counts of scores, STEPS + 1 at most, come to the driver.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = known.select(lang).count()
-    if not n or not profiles.languages:
+    if not profiles.languages:
         return 0.0
-    if n > sample:
-        known = known.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     scored = identify(known.select(F.lit(0).alias("key"), text), profiles, key="key", text=text)
-    found = scored.where(F.col("lang_pred") != UNDETERMINED).agg(F.percentile_approx("score", below, 10_000)).first()[0]
-    return part * (found or 0.0) * n / (n + TRUST)
+    step = F.when(F.col("lang_pred") != UNDETERMINED, F.floor(F.col("score") * STEPS))
+    counts = {r.step: r["n"] for r in scored.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n, n_und = sum(counts.values()), counts.pop(None, 0)
+    if n == n_und:
+        return 0.0
+    reached, under = below * (n - n_und), 0
+    for found in sorted(counts):
+        under += counts[found]
+        if under >= reached:
+            break
+    return part * (found / STEPS) * n / (n + TRUST)
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, *, least: float = 0.0, languages: Collection[str] | None = None, text: str = "text", lang: str = "lang") -> DataFrame:

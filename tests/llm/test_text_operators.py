@@ -213,3 +213,12 @@ def test_token_counts(spark, sf):
         assert got[i] == sum(1 if isinstance(w, int) else pieces(w) for c in t.split() for w in codec.split_words(c))
     odd = spark.createDataFrame([(1, None), (None, "")], "doc_id long, text string")
     assert [r.n_tokens for r in wordpiece.token_counts(odd, word_bpe()).collect()] == [0, 0]
+
+
+def test_least_score_is_fitted_on_every_labelled_row(spark):
+    """60,000 rows of one text whose hash lies above the part that a sample of 50,000 would take."""
+    texts = spark.createDataFrame([(f"the cat sat on mat {'x' * i}",) for i in range(40)], "text string")
+    text = texts.where("pmod(xxhash64(text), 1 << 30) >= (1 << 30) / 6 * 5").orderBy("text").first().text
+    docs = spark.range(60_000).selectExpr(f"'{text}' AS text", "'en' AS lang")
+    profiles = langid.learn(docs)
+    assert langid.least_score(docs, profiles) == pytest.approx(langid.PART * 60_000 / (60_000 + langid.TRUST))
