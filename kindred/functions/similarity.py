@@ -5,10 +5,8 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 #: Characters up to which a pair is compared together with others, and stretches that are.
 LONG, AT_ONCE = 200, 2048
@@ -93,13 +91,11 @@ def _matched(a: np.ndarray, b: np.ndarray, part: np.ndarray, short: np.ndarray,
     return [np.stack([pair, a0, a0 + at_a - size, b0, b0 + at_b - size]), np.stack([pair, a0 + at_a, a1, b0 + at_b, b1])]
 
 
-@F.pandas_udf(DoubleType())
-def ratio_udf(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Null where either side is null; equal pairs of a batch are computed once."""
+def ratios(left: list[str | None], right: list[str | None]) -> np.ndarray:
+    """matched_ratios, NaN where either side is null; equal pairs are computed once."""
     seen: dict[tuple[str, str], int] = {}
     place = [-1 if pair[0] is None or pair[1] is None else seen.setdefault(pair, len(seen)) for pair in zip(left, right)]
-    found = np.append(matched_ratios([p[0] for p in seen], [p[1] for p in seen]), np.nan)[place]
-    return pd.Series(found, dtype="float64")
+    return np.append(matched_ratios([p[0] for p in seen], [p[1] for p in seen]), np.nan)[place]
 
 
 def count_ratio(a: Column, b: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,15 +161,29 @@ def featurize(pairs: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def vectors(joined: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns keep of pairs with their records, and the 24 features."""
-    made = _native()
+    """The columns keep of pairs with their records, and the 24 features.
+
+    Python gets the two strings of a ratio and the finished features, not the records' words.
+    """
+    made, ratios, none = _native(), [], F.lit(None).cast("string")
     for name, column in RATIOS.items():
         a, b = F.col(f"l_{column}"), F.col(f"r_{column}")
         present = (a != "") & (b != "")
         differ = present & (a != b)
-        ratio = S.ratio_udf(F.when(differ, a), F.when(differ, b))
-        made[name] = F.coalesce(F.when(present & (a == b), F.lit(1.0)), ratio, F.lit(0.0))
-    return joined.select(*keep, *(made[n].alias(n) for n in FEATURE_NAMES))
+        made[name] = F.when(present & (a == b), 1.0).otherwise(0.0)
+        ratios += [F.when(differ, a).otherwise(none).alias(f"l_{name}"), F.when(differ, b).otherwise(none).alias(f"r_{name}")]
+    ready = joined.select(*keep, *(made[n].alias(n) for n in FEATURE_NAMES), *ratios)
+    schema = ready.select(*keep, *FEATURE_NAMES).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            for name in RATIOS:
+                found = S.ratios(columns.pop(f"l_{name}").to_pylist(), columns.pop(f"r_{name}").to_pylist())
+                columns[name] = pc.coalesce(pa.array(found, from_pandas=True), columns[name])
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return ready.mapInArrow(run, schema)
 
 
 def vector() -> Column:
