@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import compiled
 from ..functions import keys as K
 from ..functions import similarity as S
 from ..functions import text as T
@@ -27,7 +28,7 @@ FEATURE_NAMES = (
 #: References of a key that meet its candidates in one part.
 MEET = 128
 RATIOS = {"name_char_ratio": "name", "address_char_ratio": "address"}
-_SIDE = ("country", "name", "name_core", "address", "address_tokens", "house_number", "core_set", "core_sorted", "prefixes", "token_set", "alpha_set", "name_bigrams", "address_bigrams")
+_SIDE = ("country", "name", "name_core", "address", "address_tokens", "house_number", "core_set", "core_sorted", "prefixes", "token_set", "alpha_set", "name_bigrams", "address_bigrams", "core_words", "alpha_words")
 
 
 def prepared(records: DataFrame) -> DataFrame:
@@ -42,6 +43,8 @@ def prepared(records: DataFrame) -> DataFrame:
         F.array_distinct("address_alpha_tokens").alias("alpha_set"),
         S.bigrams(F.col("name")).alias("name_bigrams"),
         S.bigrams(F.col("address")).alias("address_bigrams"),
+        F.array_join("name_core", " ").alias("core_words"),
+        F.array_join("address_alpha_tokens", " ").alias("alpha_words"),
     )
 
 
@@ -87,18 +90,18 @@ def candidates_with_records(records: DataFrame, config: K.BlockingConfig = K.DEF
     if references is not None:
         more = [c for c in references.columns if c != "ref_id"]
         left = left.join(references.withColumnRenamed("ref_id", "entity_id"), "entity_id", "left")
-    left, right = left.withColumn("key", F.explode("keys")), pool.select("source", "entity_id", *base).join(kept, ["source", "entity_id"]).withColumn("key", F.explode("kept"))
+    # production keys come first: a pair is one of production if the first key it was found by is
+    left = left.select("*", F.posexplode("keys").alias("at", "key")).withColumns({"earlier": F.slice("keys", F.lit(1), F.col("at")), "is_prod": F.col("at") < F.size("production")}).drop("keys", "production", "at")
+    right = pool.select("source", "entity_id", *base).join(kept, ["source", "entity_id"]).withColumn("key", F.explode("kept"))
     parts = blocking.keyed(refs, F.concat(*made.values()), config).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts")).where("parts > 1")
     share = F.coalesce("parts", F.lit(1))
     left = left.join(parts, "key", "left").withColumn("part", F.pmod(F.xxhash64("entity_id"), share)).drop("parts")
     right = right.join(parts, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), share - 1))).drop("parts")
     # what pairs need of a record is made after the rows are dealt out, so it is not shuffled
     left, right = (prepared(side.repartition("key", "part")) for side in (left, right))
-    left = _side(left, "l", "ref_source", "ref_id", "key", "part", "keys", "production", *more)
-    joined = left.join(_side(right, "r", "cand_source", "cand_id", "key", "part", "kept"), ["key", "part"]).where(F.array_intersect("keys", "kept")[0] == F.col("key"))
-    if arms:
-        joined = joined.withColumn("is_prod", F.arrays_overlap("production", "kept"))
-    return joined.drop("key", "part", "keys", "kept", "production", "l_known", "r_known")
+    left = _side(left, "l", "ref_source", "ref_id", "key", "part", "earlier", "is_prod", *more)
+    joined = left.join(_side(right, "r", "cand_source", "cand_id", "key", "part", "kept"), ["key", "part"]).where((F.size("earlier") == 0) | ~F.arrays_overlap("earlier", "kept"))
+    return joined.drop("key", "part", "earlier", "kept", "l_known", "r_known", *([] if arms else ["is_prod"]))
 
 
 def unknown_records(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -186,6 +189,16 @@ def vectors(joined: DataFrame, keep: list[str]) -> DataFrame:
     return ready.mapInArrow(run, schema)
 
 
+def packed(joined: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns keep of pairs with their records, and x, the 24 features as doubles in one value.
+
+    vectors in a form for what reads all features of many pairs: no row goes through Python.
+    """
+    function = compiled.register(joined.sparkSession, "PairFeatures")
+    sides = [f"{side}_{c}" for c in ("name", "core_words", "address", "alpha_words", "house_number", "country") for side in "lr"]
+    return joined.select(*keep, F.call_function(function, *sides).alias("x"))
+
+
 def vector() -> Column:
     """The features as one array, in order."""
     return F.array(*FEATURE_NAMES)

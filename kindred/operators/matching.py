@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import BUCKETS, split_bucket
+from . import newton
 from .features import FEATURE_NAMES
 
 BETA = 0.5
@@ -98,37 +97,55 @@ class FitSummary:
     n_features: int
 
 
+@dataclass(frozen=True)
+class Model:
+    coefficients: tuple[float, ...]
+    intercept: float
+
+
 class LogisticMatcher:
-    """L2 logistic regression on unscaled features, penalty 1 / (C n) on the mean loss."""
+    """L2 logistic regression on unscaled features, penalty 1 / (C n) on the mean loss.
+
+    Solved to its optimum by Newton's steps over all rows (operators/newton.py), max_iter at most.
+    """
 
     def __init__(self, C: float = 1.0, class_weight: str | None = None, max_iter: int = 1000, features: tuple[str, ...] = FEATURE_NAMES, tol: float = 1e-6):
         if class_weight not in (None, "balanced"):
             raise ValueError("class_weight is None or 'balanced'")
         self.C, self.class_weight, self.max_iter, self.features, self.tol = C, class_weight, max_iter, tuple(features), tol
-        self.model: LogisticRegressionModel | None = None
+        self.model: Model | None = None
         self.summary: FitSummary | None = None
 
-    def _assembled(self, df: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=list(self.features), outputCol="_vector").transform(df)
-
-    def fit(self, labelled: DataFrame) -> LogisticMatcher:
-        c = class_counts(labelled).first()
-        if not c["n_positive"] or not c["n_negative"]:
+    def problem(self, n: int, positive: int, parts: set[int]) -> newton.Problem:
+        """What is to be solved over n rows of parts, positive of them with label 1."""
+        if not positive or positive == n:
             raise ValueError("both classes are needed")
-        weight = F.when(F.col("label") == 1, c["n_samples"] / (2 * c["n_positive"])).otherwise(c["n_samples"] / (2 * c["n_negative"])) if self.class_weight else F.lit(1.0)
-        rows = self._assembled(labelled.withColumn("label", F.col("label").cast("double")).withColumn("_weight", weight))
-        regression = LogisticRegression(featuresCol="_vector", labelCol="label", weightCol="_weight", regParam=1 / (self.C * c["n_samples"]), elasticNetParam=0.0, standardization=False, maxIter=self.max_iter, tol=self.tol)
-        self.model = regression.fit(rows)
-        n_iter = self.model.summary.totalIterations
-        self.summary = FitSummary(c["n_samples"], c["n_positive"], c["n_negative"], c["positive_rate"], self.class_weight, n_iter, n_iter < self.max_iter, len(self.features))
+        weights = (n / (2 * (n - positive)), n / (2 * positive)) if self.class_weight else (1.0, 1.0)
+        return newton.Problem(parts, n, weights, 1 / (self.C * n))
+
+    def solved(self, n: int, positive: int, beta: np.ndarray, n_iter: int, converged: bool) -> LogisticMatcher:
+        self.model = Model(tuple(map(float, beta[:-1])), float(beta[-1]))
+        self.summary = FitSummary(n, positive, n - positive, positive / n, self.class_weight, n_iter, converged, len(self.features))
         return self
 
+    def fit(self, labelled: DataFrame, label: newton.Label | None = None) -> LogisticMatcher:
+        """labelled: the features, or x, their doubles as bytes, with label; or label gives it from the features."""
+        blocks = newton.Blocks(labelled.withColumn("part", F.lit(0)), self.features, label)
+        try:
+            counts = blocks.size({0})
+            found = newton.fit(blocks, [self.problem(*counts, {0})], self.tol, self.max_iter)
+            return self.solved(*counts, *(x[0] for x in found))
+        finally:
+            blocks.clear()
+
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """df with score, the probability of a match."""
         if self.model is None:
             raise RuntimeError("fit the matcher first")
-        scored = self.model.transform(self._assembled(df))
-        return scored.withColumn("score", vector_to_array("probability")[1]).select(*df.columns, "score")
+        margin = F.lit(self.model.intercept)
+        for name, weight in zip(self.features, self.model.coefficients):
+            margin += F.lit(weight) * F.col(name)
+        return df.withColumn("score", 1 / (1 + F.exp(-margin)))
 
     def predict(self, df: DataFrame, threshold: float = 0.5) -> DataFrame:
         return self.predict_proba(df).withColumn("prediction", (F.col("score") >= threshold).cast("int"))
@@ -136,33 +153,47 @@ class LogisticMatcher:
     def coefficients(self) -> dict[str, float]:
         if self.model is None:
             raise RuntimeError("fit the matcher first")
-        return dict(zip(self.features, map(float, self.model.coefficients)))
+        return dict(zip(self.features, self.model.coefficients))
 
     def report(self, df: DataFrame, thresholds=DEFAULT_THRESHOLDS) -> DataFrame:
         return evaluate_thresholds(self.predict_proba(df), thresholds)
 
 
-def run_arms(features: DataFrame, *, class_weight: str | None = None, thresholds=DEFAULT_THRESHOLDS) -> DataFrame:
+def run_arms(features: DataFrame, *, class_weight: str | None = None, thresholds=DEFAULT_THRESHOLDS, label: newton.Label | None = None) -> DataFrame:
     """features(..., label, is_prod, is_validation) -> the best report of each arm.
 
-    An arm is a filter of the one feature table: production pairs, or all. Each is fitted on
+    An arm is a share of the one feature table: production pairs, or all. Each is fitted on
     its training side and judged on its validation side; n_train says how many pairs it was
-    fitted on. The table is cached meanwhile, since a fit reads it once for each iteration;
-    give a table that is stored already, if it can be. Only two rows come to the driver.
+    fitted on. The table is read once and packed in blocks (operators/newton.py), both arms
+    are fitted together. features and label may be as in LogisticMatcher.fit.
     """
-    cached = not features.is_cached
-    features = features.persist() if cached else features
+    spark = features.sparkSession
+    part = F.col("is_prod").cast("int") + 2 * F.col("is_validation").cast("int")
+    blocks = newton.Blocks(features.withColumn("part", part), FEATURE_NAMES, label)
     try:
-        rows, schema = [], None
-        for arm, part in (("production", features.where("is_prod")), ("production_a2", features)):
-            matcher = LogisticMatcher(class_weight=class_weight).fit(part.where("not is_validation"))
-            best = best_threshold(matcher.report(part.where("is_validation"), thresholds))
-            best = best.select(F.lit(arm).alias("arm"), F.lit(matcher.summary.n_samples).cast("long").alias("n_train"), F.lit(matcher.summary.converged).alias("converged"), "*")
-            rows, schema = rows + best.collect(), best.schema
-        return features.sparkSession.createDataFrame(rows, schema)
+        arms = {"production": ({1}, {3}), "production_a2": ({0, 1}, {2, 3})}
+        matchers = [LogisticMatcher(class_weight=class_weight) for _ in arms]
+        counts = [blocks.size(train) for train, _ in arms.values()]
+        problems = [m.problem(*c, train) for m, c, (train, _) in zip(matchers, counts, arms.values())]
+        found = newton.fit(blocks, problems, matchers[0].tol, matchers[0].max_iter)
+        betas = [m.solved(*c, *x) and x[0] for m, c, x in zip(matchers, counts, zip(*found))]
+        least = np.array(thresholds)
+
+        def judged(i: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            hit = 1 / (1 + np.exp(-np.clip(betas[i] @ x, -700, 700))) >= least[:, None]
+            return np.stack([hit.sum(axis=1), (hit & (y == 1)).sum(axis=1)])
+
+        reports = []
+        for arm, matcher, sums, (_, judge) in zip(arms, matchers, blocks.sums([v for _, v in arms.values()], judged), arms.values()):
+            n_yes = blocks.size(judge)[1]
+            hits = np.zeros((2, len(least))) if sums is None else sums.reshape(2, -1)
+            rows = [(float(t), int(p), int(tp), int(p - tp), int(n_yes - tp)) for t, p, tp in zip(thresholds, *hits)]
+            schema = "threshold double, predicted_positives long, true_positives long, false_positives long, false_negatives long"
+            best = best_threshold(_metrics(spark.createDataFrame(rows, schema), BETA))
+            reports.append(best.select(F.lit(arm).alias("arm"), F.lit(matcher.summary.n_samples).cast("long").alias("n_train"), F.lit(matcher.summary.converged).alias("converged"), "*"))
+        return reports[0].unionByName(reports[1])
     finally:
-        if cached:
-            features.unpersist()
+        blocks.clear()
 
 
 def recovered_recall(scored: DataFrame, threshold: float) -> DataFrame:
