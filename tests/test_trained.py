@@ -55,3 +55,15 @@ def test_arms_as_by_columns(spark, sf):
         m = matching.LogisticMatcher().fit(part.where("not is_validation"))
         best = matching.best_threshold(m.report(part.where("is_validation"))).first()
         assert arm[1:3] == (m.summary.n_samples, True) and arm[3:] == tuple(best)
+
+
+def test_coefficients_are_those_of_the_optimum(spark, sf):
+    found = {r.feature: r.weight for r in catalog.QUERIES["logistic_coefficients"](spark, sf).collect()}
+    rows = features.vectors(features.candidates_with_records(catalog._records(spark, sf), arms=True), []).toPandas()[list(features.FEATURE_NAMES)].to_numpy()
+    t, a, v = catalog._alike(rows).astype(float), np.column_stack([rows, np.ones(len(rows))]), np.zeros(25)
+    own = np.append(np.ones(24), 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-a @ v))
+        v -= np.linalg.lstsq(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(own), a.T @ (p - t) + own * v, rcond=1e-15)[0]
+    expected = dict(zip(features.FEATURE_NAMES, v))
+    assert len(found) == 8 and all(abs(w - expected[n]) < 1e-7 for n, w in found.items())
